@@ -53,5 +53,49 @@ def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_benchmark_decontamination, op7_best_two_fit_packing, op8_boosted_pii, op10_chunked_warc)}
+#: The contract's rules for op1.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op1_url_trust_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_trust import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import stupid_backoff
+
+    scored = stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
+    return scored.select("doc_id", "n_words", "n_alone", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grade_model import fit_grades, graded, score_grades
+
+    documents = _table(spark, sf_dir, "documents")
+    ratings = graded(_table(spark, sf_dir, "labels"), F.col("quality"), F.col("toxic"))
+    return score_grades(documents, fit_grades(documents, ratings))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_trust_propagation,
+        op2_minhash_near_dedup,
+        op4_benchmark_decontamination,
+        op5_stupid_backoff,
+        op6_ordinal_quality,
+        op7_best_two_fit_packing,
+        op8_boosted_pii,
+        op9_license_scan,
+        op10_chunked_warc,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -71,8 +71,11 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lowered, in order, and for each row the index of its first word (n + 1 long)."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lowered, in order, and for each row the index of its first word (n + 1 long).
+
+    With head, only the first head bytes of each word are hashed.
+    """
     found, first, at, total = [], [], 0, len(data)
     cut = np.zeros(total + 1, dtype=bool)
     cut[offsets] = True
@@ -94,6 +97,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
         after = np.empty(len(part), dtype=bool)
         after[-1], after[:-1] = False, inside[1:]
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        if head:
+            ends = np.minimum(ends, starts + head)
         up, down = _powers(len(part) + 1)
         sums = np.empty(len(part) + 1, dtype=np.uint64)
         sums[0] = 0
