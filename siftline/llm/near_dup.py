@@ -7,11 +7,19 @@ so equal sets ask equally. Bands of `rows` bins make the buckets: with 128 bins
 sets of Jaccard similarity 0.8 share no bucket with probability (1 - 0.8^4)^32, about 5e-8.
 
 Candidates. Texts of equal shingle sets first become one class, whose smallest id stands for it.
-In each bucket the smallest and the largest class are centres, and only edges from a centre to a
-member are candidates: at most two per member and bucket, never all pairs. Edges are confirmed on
-full sets. A bucket whose members are in one component after that is done; in the others the two
-centres, which have met all members, leave, and the next round takes new centres, until no bucket
-has two components left. So each pair that shares a bucket is either compared or already joined.
+In each bucket two members are centres (the first and last in one of a few fixed random orders, so
+that bands of the same order agree on centres and others add new ones), and only edges from a
+centre to a member are candidates: at most two per member and bucket, never all pairs. Edges are
+confirmed on full sets and joined to components.
+
+The rest, exactly. A bucket whose members are then in one component is done. In the few others,
+pairs of different components have not all met. Their members are compared in blocks of at most
+`block` members a side, so that no task gets an unbounded bucket, and only by the first bucket that
+a pair shares. Sets of up to `fine` shingles are at hand as 32-bit hashes: they are counted, and the
+closest pair of each two components that reaches the limit is written out. Longer sets have a
+signature of `fine` bins: what comes within five standard errors of the limit is written out. All of
+it is confirmed on full sets. So each pair that shares a bucket is joined already, or confirmed, or
+too far.
 
 Rows of null id are returned with null component and are kept; rows that share an id count as one
 document, linked with whatever any of its texts is linked with. Null, empty or wordless texts have
@@ -67,20 +75,30 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _sketcher(k: int, bins: int, rows: int, separators: np.ndarray):
+def _marks(sets: list[np.ndarray], fine: int) -> np.ndarray:
+    """A byte for each of the finer bins of each set of 32-bit numbers."""
+    spread = [np.sort(textkit.mix(x.astype(np.uint64))) for x in sets]
+    return textkit.mix(signatures(spread, fine)).astype(np.uint8)
+
+
+def _sketcher(k: int, bins: int, rows: int, fine: int, separators: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in textkit.row_blocks(batches):
             hashes, first = textkit.words(data, offsets, separators)
             sets = textkit.shingle_sets(hashes, first, k)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            keys = np.zeros((len(sets), bins // rows), dtype=np.uint64)
+            keys, payload = np.zeros((len(sets), bins // rows), dtype=np.uint64), [b""] * len(sets)
             full = np.flatnonzero(sizes)
             if len(full):
-                keys[full] = band_keys(signatures([sets[i] for i in full], bins), rows)
+                own = [sets[i] for i in full]
+                keys[full] = band_keys(signatures(own, bins), rows)
+                short = [textkit.mix(x).astype("<u4") for x in own]
+                for i, x in zip(full.tolist(), short):
+                    payload[i] = x.tobytes() if len(x) <= fine else _marks([x], fine)[0].tobytes()
             one = np.array([textkit.mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64)
             two = np.array([np.bitwise_xor.reduce(textkit.mix(s * np.uint64(0xE7037ED1A0B428DB))) if len(s) else 0 for s in sets], dtype=np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands], names=["id", "n_shingles", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands, pa.array(payload, pa.binary())], names=["id", "n_shingles", "fp1", "fp2", "bands", "fine"])
 
     return run
 
@@ -107,47 +125,98 @@ def _verifier(k: int, percent: int, separators: np.ndarray):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, separators: np.ndarray = textkit.SPACED) -> DataFrame:
+def _closer(fine: int, limit: float):
+    """Pairs of different components in one block pair of a bucket that are, or by their estimate may be, similar enough."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, labels, sizes, own = (np.array(table.column(c)) for c in ("id", "label", "n_shingles", "own"))
+        payload = table.column("fine").to_pylist()
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        earlier = bands[:, : table.column("band")[0].as_py()]
+        same, left = key[1].as_py() == key[2].as_py(), own == key[1].as_py()
+        right = left if same else ~left
+        out: list[np.ndarray] = []
+
+        def others(i: int, of: np.ndarray) -> np.ndarray:
+            ok = right & of & (labels != labels[i]) & ((ids > ids[i]) if same else (ids != ids[i]))
+            at = np.flatnonzero(ok)
+            return at[~(earlier[at] == earlier[i]).any(axis=1)] if len(at) else at  # the first bucket that a pair shares has it
+
+        short = sizes <= fine
+        # both sets are at hand: count, and write one pair for each two components
+        sets = [np.frombuffer(x, "<u4") if s else np.zeros(0, "<u4") for x, s in zip(payload, short)]
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        lengths = np.array([len(x) for x in sets])
+        begins = np.cumsum(lengths) - lengths
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for i in np.flatnonzero(left & short).tolist():
+            at = others(i, short)
+            if len(at):
+                flag = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+                flag[flat[begins[i] : begins[i] + lengths[i]]] = 1
+                run_of = np.repeat(begins[at], lengths[at]) + np.arange(lengths[at].sum()) - np.repeat(np.cumsum(lengths[at]) - lengths[at], lengths[at])
+                shared = np.add.reduceat(flag[flat[run_of]], np.cumsum(lengths[at]) - lengths[at])
+                ratio = shared / (lengths[at] + lengths[i] - shared)
+                for j, r in zip(at[ratio >= limit].tolist(), ratio[ratio >= limit].tolist()):
+                    pair = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+                    if r > best.get(pair, (0.0,))[0]:
+                        best[pair] = (r, i, j)
+        out += [np.array([[ids[i], ids[j]]]) for _, i, j in best.values()]
+        # a set is too long: go by the signature, and leave the rest to the confirmation
+        long = np.flatnonzero(~short)
+        if len(long):
+            sig = np.zeros((len(ids), fine), dtype=np.uint8)
+            for i, (x, s) in enumerate(zip(payload, short)):
+                sig[i] = _marks([sets[i]], fine)[0] if s else np.frombuffer(x, np.uint8)
+            for i in np.flatnonzero(left).tolist():
+                at = others(i, ~short if short[i] else np.ones(len(ids), dtype=bool))
+                if len(at):
+                    agree = (sig[at] == sig[i]).mean(axis=1)
+                    firm = 0.6 * np.minimum(fine, np.minimum(sizes[at], sizes[i]))
+                    at = at[agree >= limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(firm, 1))]
+                    out.append(np.stack([np.full(len(at), ids[i]), ids[at]], axis=1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, fine: int = 512, orders: int = 4, block: int = 2000, separators: np.ndarray = textkit.SPACED) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs; see the module's text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    scratch = Scratch(docs.sparkSession, "near-dup")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.save(base.mapInArrow(_sketcher(k, bins, rows, separators), "id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "sketch")
+    sketch = scratch.save(base.mapInArrow(_sketcher(k, bins, rows, fine, separators), "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, fine binary"), "sketch")
     with_set = sketch.where("n_shingles > 0 and id is not null")
     classes = scratch.save(with_set.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     reps = with_set.join(classes.withColumnRenamed("rep", "id"), ["fp1", "fp2", "id"], "left_semi")
-    spread = reps.select("id", F.explode("bands").alias("key"))
-    wide = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    members = scratch.save(spread.join(wide, "key"), "members-0")
-    links, tested, labels, turn = None, None, None, 0
-    while True:
-        stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.where("id <> hi and id <> lo").select(F.col("id").alias("a"), F.col("hi").alias("b")))
-        pairs = stars.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.save(_confirmed(base, pairs, k, percent, separators), f"links-{turn}")
-        links = new if links is None else links.unionByName(new)
-        if turn == 0 or new.limit(1).count():
-            labels = components(links, scratch, f"cc-{turn}")
-        # classes without a link are their own component
-        left = members.where("id <> lo and id <> hi").select("key", "id")
-        named = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        left = left.join(open_keys, "key", "left_semi")
-        turn += 1
-        ends = left.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-        rest = scratch.save(left.join(ends, "key"), f"members-{turn}")
-        scratch.drop(f"members-{turn - 1}")
-        if not rest.limit(1).count():
-            break
-        members = rest
+
+    spread = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "key", "band", F.xxhash64("id", F.col("band") % orders).alias("rank"))
+    buckets = spread.groupBy("key").agg(F.min_by("id", "rank").alias("lo"), F.max_by("id", "rank").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    members = scratch.save(spread.select("id", "key", "band").join(buckets, "key"), "members")
+    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.where("id <> hi and id <> lo and n > 2").select(F.col("hi").alias("a"), F.col("id").alias("b")))
+    pairs = scratch.save(stars.distinct(), "pairs")
+    links = scratch.save(_confirmed(base, pairs, k, percent, separators), "links")
+    labels = components(links, scratch, "first")
+
+    # buckets of three are done: both centres have met everyone
+    named = members.where("n > 3").select("key", "band", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    apart = scratch.save(named.join(mixed, "key", "left_semi"), "apart")
+    marks = reps.select("id", "n_shingles", "bands", "fine").join(apart.select("id").distinct(), "id", "left_semi")
+    side = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    placed = apart.join(marks, "id").withColumn("own", F.pmod(F.xxhash64("id"), side)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    near = placed.select("key", "band", "i", "j", "id", "label", "own", "n_shingles", "bands", "fine").groupBy("key", "i", "j").applyInArrow(_closer(fine, percent / 100), "a long, b long")
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = scratch.save(near.distinct().join(met, ["a", "b"], "left_anti"), "more")
+    found = scratch.save(links.unionByName(_confirmed(base, more, k, percent, separators)), "all-links")
+    labels = components(found, scratch, "last")
+    scratch.drop("members", "apart", "pairs", "more")
+
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("label", "rep").alias("root"))
-    found = sketch.select("id", "n_shingles", "fp1", "fp2").join(by_class, ["fp1", "fp2"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
-    root = F.when(F.col("id").isNotNull(), root)
-    return found.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
+    result = sketch.select("id", "n_shingles", "fp1", "fp2").join(by_class, ["fp1", "fp2"], "left")
+    root = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id")))
+    return result.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _confirmed(base: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:

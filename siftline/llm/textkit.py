@@ -118,8 +118,8 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        out += hashes[j : j + n] * np.uint64((0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1E * j) % 2**64 | 1)
-    return mix(out)
+        out = mix(out + hashes[j : j + n])  # order counts: a sum of multiples would let some permutations collide
+    return out
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
