@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .storage import ship
 
 #: ASCII signs other than letters, digits, white space and control characters
 SIGNS = np.zeros(256, dtype=bool)
@@ -154,6 +155,7 @@ class OrdinalModel:
 
 def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 12_000, keep_share: float = 0.98) -> OrdinalModel:
     """Fit on the rows of grades (id, grade from 0) whose id is in docs."""
+    ship(docs.sparkSession)
     chosen = grades.where("id is not null and grade is not null").orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled)
     rated = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_labelled rows at most
     rows = sorted(_packed(rated, buckets).collect(), key=lambda r: (r.id, r.grade, bytes(r.slots)))[: 2 * max_labelled]
@@ -179,6 +181,7 @@ def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_
 
 def score_grades(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, expected_grade, tail_probability, keep) for every row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

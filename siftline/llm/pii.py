@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .boosted import BoostedTrees, calibrate, threshold_for
+from .storage import ship
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -242,6 +243,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The counts and base are of base spans; spans also has what the model added. Both are joined as
     kind:start:end by kind, then start.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or SpanModel())
     counts = ("email", "ip", "card", "phone")
     schema = f"{id_col} long, " + ", ".join(f"n_{k} long" for k in counts) + ", base string, spans string" + ", redacted string" * with_text

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +24,25 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python, unless its folder is in their PYTHONPATH."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_siftline_sent", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="siftline-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._siftline_sent = True
+
+
 class Scratch:
     """Tables of one run below the shared folder; all are deleted when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
