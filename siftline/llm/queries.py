@@ -16,6 +16,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_flat_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), limit=0.93)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leakage import decontaminate
 
@@ -89,6 +95,7 @@ QUERIES = {
     for f in (
         op1_url_trust_propagation,
         op2_minhash_near_dedup,
+        op3_flat_graph_near_dedup,
         op4_benchmark_decontamination,
         op5_stupid_backoff,
         op6_ordinal_quality,
