@@ -193,6 +193,19 @@ def score_grades(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, expected_grade double, tail_probability double, keep boolean")
 
 
+def select_graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose probability of the top grade is high enough."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in textkit.row_blocks(batches, text_col):
+            tails = shared.value.tails(*bucket_counts(data, offsets, shared.value.buckets), block.num_rows)
+            yield block.filter(pa.array(tails[:, -1] >= shared.value.least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(labels: DataFrame, quality: Column, toxic: Column, id_col: str = "doc_id") -> DataFrame:
     """Ratings 0 to 2 from the two labels: 2 good and not toxic, 1 one of the two, 0 neither."""
     return labels.select(F.col(id_col).cast("long").alias("id"), (quality.cast("int") + F.lit(1) - toxic.cast("int")).alias("grade"))

@@ -177,6 +177,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return parts.groupBy("shard", "ord").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), *map(merged, ("hits", "items", "near_items"))).drop("shard", "ord")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns, without those that hold a window of a benchmark item; rows of null id can't be named and stay."""
+    scratch = Scratch(docs.sparkSession, "leakage-drop")
+    found = decontaminate(docs, benchmark, id_col, text_col, **how)
+    hit = scratch.save(found.where(F.size("hits") > 0).select(F.col(id_col).alias("_id")).distinct(), "hit")
+    return docs.withColumn("_id", F.col(id_col).cast("long")).join(hit, "_id", "left_anti").select(*docs.columns)
+
+
 def _search(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int, slop: int, schema: str, id_col: str) -> DataFrame:
     names = [name for name, _ in block]
     if block:

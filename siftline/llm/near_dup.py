@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkit
 from .components import components
@@ -219,6 +220,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs, all columns, with the document of least id of each group; of rows that share an id one stays.
+
+    Only the ids to drop are joined to the texts, and they are written first: a small table is
+    broadcast, others are shuffled. Rows of null id all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dup-drop")
+    found = scratch.save(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "kept"), "found")
+    lost = scratch.save(found.where("not kept").select("_id").distinct(), "lost")
+    repeated = scratch.save(found.where("kept and _id is not null").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    named = docs.withColumn("_id", F.col(id_col).cast("long"))
+    rest = named.join(lost, "_id", "left_anti")
+    if repeated.limit(1).count():
+        twice = rest.join(repeated, "_id", "left_semi")
+        one = Window.partitionBy("_id").orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
+        rest = rest.join(repeated, "_id", "left_anti").unionByName(twice.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
+    return rest.select(*docs.columns)
+
+
 def _confirmed(base: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
     """The pairs whose full sets are similar enough. Only texts that occur in a pair are shuffled."""
     texts = base.where("id is not null")

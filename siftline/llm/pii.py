@@ -268,3 +268,22 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
+    """docs, all columns, with every span in text_col replaced by its kind in brackets; null texts stay null."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model or SpanModel())
+
+    def clean(text: str | None) -> str | None:
+        if not text or not _TRIGGER.search(text):
+            return text
+        own = base_spans(text)
+        return redact(text, own + shared.value.added(text, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _ in textkit.row_blocks(batches, text_col):
+            at = block.schema.get_field_index(text_col)
+            yield block.set_column(at, block.schema.field(at), pa.array([clean(x) for x in block.column(at).to_pylist()], block.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
