@@ -18,6 +18,7 @@ others. Repeated rows are packed as often as they occur.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit
-from .storage import Scratch
+from .storage import Scratch, ship
 
 #: Words that a worker keeps with their ids, per tokenizer.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _loaded: dict = {}
 
 
@@ -44,30 +45,73 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _learn(model, known: dict[bytes, bytes], words: list[bytes], special: list[bytes]) -> None:
+    """Put the ids of words into known, and of their parts before and after the signs that end them.
+
+    Words of letters only are encoded many at a time: each is one piece for the tokenizer, so its
+    ids are those of one word number. Where the numbers don't bear that out, words go one by one.
+    """
+    ended = {}
+    for w in words:
+        core = w.rstrip(_SIGNS)
+        if core and core != w and core[-1] < 128 and core[-1:].isalnum() and not any(x in w for x in special):
+            ended[w] = (core, w[len(core) :])
+    wanted = list({x for w in words for x in ended.get(w, (w,)) if x not in known})
+    plain = [x for x in wanted if x.decode().isalpha()]
+    single = [x for x in wanted if not x.decode().isalpha()]
+    for at in range(0, len(plain), 1000):
+        some = plain[at : at + 1000]
+        coded = model.encode(b" ".join(some).decode(), add_special_tokens=False)
+        ids, numbers = coded.ids, coded.word_ids
+        cuts = [i for i in range(len(numbers)) if i == 0 or numbers[i] != numbers[i - 1]]
+        if len(cuts) != len(some):
+            single += some
+            continue
+        for x, i, j in zip(some, cuts, [*cuts[1:], len(ids)]):
+            known[x] = _pack(ids[i:j])
+    for at in range(0, len(single), 5000):
+        some = single[at : at + 5000]
+        for x, coded in zip(some, model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
+            known[x] = _pack(coded.ids)
+    for w, (core, tail) in ended.items():
+        known[w] = known[core] + known[tail]
+
+
 def encode_texts(texts: list[str], path: str, by_word: bool) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, no special tokens added."""
     model, known = _tokenizer(path)
-    pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
     if not by_word:
-        return [pack(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-    split = [t.encode().split() for t in texts]
-    missing = list({w for ws in split for w in ws if w not in known})
+        return [_pack(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
+    folded = [x.lower() for x in special]
+    split = []
+    for text in texts:
+        data = text.encode()
+        low = data.lower()
+        # case is left alone where it could tell: at a special token's string, and at combining marks U+0300 to U+037F
+        split.append((data if b"\xcc" in data or b"\xcd" in data or any(x in low for x in folded) else low).split())
+    missing = {w for ws in split for w in ws if w not in known}
     if len(known) + len(missing) > CACHE_WORDS:
         known.clear()
-        missing = list({w for ws in split for w in ws})
-    for at in range(0, len(missing), 20_000):
-        some = missing[at : at + 20_000]
-        for w, e in zip(some, model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = pack(e.ids)
+        missing = {w for ws in split for w in ws}
+    _learn(model, known, list(missing), special)
     return [b"".join([known[w] for w in ws]) for ws in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, end_id: int = 0, by_word: bool = False, with_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]) for every piece of every document.
 
-    by_word: the tokenizer drops white space, so words cut at ASCII white space give the same ids
-    as the text and each distinct word is encoded once per worker.
+    by_word: the tokenizer lowers case, drops white space and cuts letters from signs, so words cut
+    at ASCII white space give the same ids as the text, and distinct words are encoded once a worker.
     """
+    ship(docs.sparkSession)
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
