@@ -153,7 +153,7 @@ class OrdinalModel:
             self.least = float((tail[order[best]] + tail[order[min(best + 1, len(order) - 1)]]) / 2)
 
 
-def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 12_000, keep_share: float = 0.98) -> OrdinalModel:
+def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 10_000, keep_share: float = 0.98) -> OrdinalModel:
     """Fit on the rows of grades (id, grade from 0) whose id is in docs."""
     ship(docs.sparkSession)
     chosen = grades.where("id is not null and grade is not null").orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled)
@@ -166,6 +166,7 @@ def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_
     values = [np.frombuffer(r["values"], "<f4").astype(np.float64) for r in rows]
     grade = np.array([r.grade for r in rows])
     held = textkit.mix(np.array([r.id for r in rows], dtype=np.int64).view(np.uint64)) % np.uint64(5) == 0
+    del rows
 
     def part(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(at):

@@ -182,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     scratch = Scratch(docs.sparkSession, "leakage-drop")
     found = decontaminate(docs, benchmark, id_col, text_col, **how)
     hit = scratch.save(found.where(F.size("hits") > 0).select(F.col(id_col).alias("_id")).distinct(), "hit")
-    return docs.withColumn("_id", F.col(id_col).cast("long")).join(hit, "_id", "left_anti").select(*docs.columns)
+    return docs.join(hit, docs[id_col].cast("long") == hit["_id"], "left_anti")
 
 
 def _search(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int, slop: int, schema: str, id_col: str) -> DataFrame:

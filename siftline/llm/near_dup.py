@@ -28,6 +28,7 @@ no shingles and are linked with nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,13 +231,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = scratch.save(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "kept"), "found")
     lost = scratch.save(found.where("not kept").select("_id").distinct(), "lost")
     repeated = scratch.save(found.where("kept and _id is not null").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
-    named = docs.withColumn("_id", F.col(id_col).cast("long"))
-    rest = named.join(lost, "_id", "left_anti")
+    rest = docs.join(lost, docs[id_col].cast("long") == lost["_id"], "left_anti")
     if repeated.limit(1).count():
-        twice = rest.join(repeated, "_id", "left_semi")
-        one = Window.partitionBy("_id").orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
-        rest = rest.join(repeated, "_id", "left_anti").unionByName(twice.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
-    return rest.select(*docs.columns)
+        twice = rest.join(repeated, rest[id_col].cast("long") == repeated["_id"], "left_semi")
+        one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
+        mark = f"rank_{uuid.uuid4().hex}"  # docs may have any column names
+        rest = rest.join(repeated, rest[id_col].cast("long") == repeated["_id"], "left_anti").unionByName(twice.withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark))
+    return rest
 
 
 def _confirmed(base: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
