@@ -48,13 +48,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The positional index of docs, a row for each shard (INDEX_SCHEMA)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        from pyspark import TaskContext
 
-        for block, data, offsets in textkit.row_blocks(batches, limit=shard_bytes):
+        # the same in every attempt: the task's partition and the shard's place in it
+        task = TaskContext.get().partitionId()
+        for number, (block, data, offsets) in enumerate(textkit.row_blocks(batches, limit=shard_bytes)):
             hashes, first = textkit.words(data, offsets, separators)
             terms, ends, positions = index_shard(hashes, first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64()))] + [pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, positions)],
+                [pa.array([f"{task}-{number}"]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64()))] + [pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, positions)],
                 names=["shard", "doc_ids", "first_word", "terms", "ends", "positions"],
             )
 
@@ -73,16 +75,13 @@ def _item_words(benchmark: DataFrame, id_col: str, text_col: str, separators: np
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    block, held = [], 0
-    for row in items.toLocalIterator():
-        words = np.array(row.words, dtype=np.int64).view(np.uint64)
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row.id, words))
-        held += len(words)
-    if block:
-        yield block
+    """The items in blocks of about block_words, one in the driver at a time."""
+    total = items.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    count = -(-total // block_words)
+    for number in range(count):
+        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == number).collect()
+        if rows:
+            yield sorted(((r.id, np.array(r.words, dtype=np.int64).view(np.uint64)) for r in rows), key=lambda x: (x[0], x[1].tolist()))
 
 
 def _windows(block: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
