@@ -112,12 +112,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def starts(size: int) -> Column:
         step = max(1, size // 4)
-        # the windows that hold the anchor's place p begin at multiples of step from p - size + 1 to p
-        return F.flatten(F.transform("at", lambda p: F.transform(F.sequence(F.greatest(F.lit(0), F.ceil((p - F.lit(size - 1)) / F.lit(step)).cast("int")), F.floor(p / F.lit(step)).cast("int")), lambda g: F.struct(F.lit(size).alias("wide"), (g * step).alias("first")))))
+        # the windows that hold the anchor's place p begin at multiples of step from p - size + 1 to p; a window is one number
+        first = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - F.lit(size - 1)) / F.lit(step)).cast("int")), F.floor(p / F.lit(step)).cast("int"))
+        return F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(first(p), lambda g: g.cast("long") * step * 4096 + size))))
+
+    def window(code: Column) -> Column:
+        size, first = (code % 4096).cast("int"), F.floor(code / 4096).cast("int")
+        return F.struct(size.alias("wide"), first.alias("first"), _shingle_array(F.col("words"), first, F.least(F.size("words"), first + size)).alias("held"))
 
     placed = split.withColumn("at", at).where("size(at) > 0")
-    windows = placed.select("id", "words", F.explode(F.array_distinct(F.concat(*map(starts, wide)))).alias("w")).select("id", "w.wide", "w.first", "words")
-    shingled = windows.select("id", "wide", "first", _shingle_array(F.col("words"), F.col("first"), F.least(F.size("words"), F.col("first") + F.col("wide"))).alias("held"))
+    shingled = placed.select("id", F.explode(F.transform(F.concat(*map(starts, wide)), window)).alias("w")).select("id", "w.*")
     signed = shingled.select("id", "wide", "first", "held", F.posexplode(_signature(F.col("held"), bands)).alias("band", "value"))
     # broadcast: bands rows for each template of the list
     hits = signed.join(F.broadcast(_template_rows(docs.sparkSession, templates, bands)), ["wide", "band", "value"])
