@@ -95,7 +95,7 @@ def medoids(x: np.ndarray, count: int = 4) -> np.ndarray:
     while len(out) < min(count, len(x)):
         out.append(int(close.argmin()))
         close = np.maximum(close, x @ x[out[-1]])
-    return np.array(out)
+    return np.unique(out)
 
 
 def range_search(x: np.ndarray, lists: np.ndarray, starts: np.ndarray, queries: np.ndarray, limit: float, beam: int, slack: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
