@@ -1,0 +1,76 @@
+import random
+import re
+
+import numpy as np
+from helpers import DOCS, ODD, clashing
+
+from siftline.llm import pii
+from siftline.llm.boosted import BoostedTrees, calibrate, threshold_for
+
+
+def plain_base(text):
+    """The base patterns as they are given."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub(r"[^0-9]", "", m.group())
+        if 13 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+def test_base_is_the_patterns():
+    rng = random.Random(5)
+    for signs in ("a1.@-+ ", "0123456789.", "45 -0", "+1() .-9", "a@b.c", "é1.2@x+"):
+        for _ in range(6000):
+            text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
+            assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_base_is_linear():
+    for text in ("a" * 300_000 + "@", "a@" * 100_000, "1" * 200_000 + ".", "+1" + " " * 200_000, "1." * 100_000):
+        pii.base_spans(text)
+        pii.candidates(text)
+
+
+def test_model_adds_what_it_should():
+    model = pii.SpanModel()
+    assert model.held_out["precision"] >= 0.95 and model.held_out["recall"] >= 0.8
+    found = lambda t: [t[s:e] for _, s, e in model.added(t, pii.base_spans(t))]
+    assert found("please call (632) 555-4827 today") == ["(632) 555-4827"]
+    assert found("account iban DE89370400440532013000 there") == ["DE89370400440532013000"]
+    for clean in ("version 1.2.3 of the year 2024-05-06", "order 12345678 for 1,234.50", "token = 97ffa88d7c5f5655e365004e", "erattion 4619646426088949 anre", "nothing here", "10 20 30 40 50 60 70"):
+        assert found(clean) == []
+
+
+def test_query_rows(spark):
+    docs = [(1, "mail ann@x.org, 10.0.0.1 and +1 (632) 555-4827"), (2, "é" * 5 + " a@b.co")] + ODD
+    got = pii.find_personal_data(clashing(spark.createDataFrame(docs, DOCS)), with_text=True).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(docs)
+    assert (by[1].n_email, by[1].n_ip, by[1].n_phone, by[1].n_card) == (1, 1, 1, 0)
+    assert by[1].base == "email:5:14,ip:16:24,phone:29:46" and by[1].redacted == "mail [EMAIL], [IP] and [PHONE]"
+    assert by[2].base == "email:6:12"
+    assert by[9001].base == "" and by[9001].redacted == ""
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    df = clashing(spark.createDataFrame([(1, "a@b.co x"), (2, None), (3, "")], DOCS))
+    got = pii.redact_documents(df)
+    assert got.columns == df.columns and [r.text for r in got.orderBy("doc_id").collect()] == ["[EMAIL] x", None, ""]
+    assert pii.redact_documents(df.limit(0)).count() == 0
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    trees = BoostedTrees(rounds=80).fit(x[:2000], y[:2000])
+    score = trees.score(x[2000:])
+    assert ((score > 0) == (y[2000:] > 0)).mean() > 0.93
+    a, b = calibrate(score, y[2000:])
+    p = 1 / (1 + np.exp(-(a * score + b)))
+    assert abs(p.mean() - y[2000:].mean()) < 0.02
+    t = threshold_for(p, y[2000:], 0.99)
+    assert y[2000:][p >= t].mean() >= 0.99
