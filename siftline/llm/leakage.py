@@ -159,9 +159,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leakage")
-    if index is None:
+    built = index is None
+    if built:
         index = scratch.save(build_index(docs, id_col, text_col, separators), "index")
     items = scratch.save(_item_words(benchmark, item_col, item_text_col, separators), "items")
+    if not built and (items.agg(F.sum(F.size("words")).alias("n")).first().n or 0) > block_words:
+        index = scratch.save(index, "kept-index")  # hits of several blocks are joined by shard: each must read the same shards
     schema = f"shard string, ord int, {id_col} long, n_words long, hits array<int>, items array<string>, near_items array<string>"
     parts = None
     for block in _blocks(items, block_words):
