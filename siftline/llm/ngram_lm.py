@@ -34,6 +34,17 @@ from .storage import Scratch
 BLOCK_SCHEMA = "block string, doc_ids array<long>, first array<long>, vocabulary binary, tokens binary"
 
 
+def _folded(numbers: np.ndarray) -> bytes:
+    """Small numbers as byte planes, compressed: the high planes are nearly empty."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unfolded(data) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
 def _gram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For k = 1 to order: the places where a k-gram of one document begins, and its hash; lengths don't share hashes."""
     end = np.repeat(first[1:], np.diff(first))
@@ -51,7 +62,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, separators: np.ndarray,
             hashes, first = textkit.words(data, offsets, separators)
             vocabulary, tokens = np.unique(hashes, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([tokens.astype("<u4").tobytes()], pa.binary())],
+                [pa.array([uuid.uuid4().hex]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([_folded(tokens)], pa.binary())],
                 names=["block", "doc_ids", "first", "vocabulary", "tokens"],
             )
 
@@ -60,7 +71,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, separators: np.ndarray,
 
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     vocabulary = np.frombuffer(batch.column("vocabulary")[i].as_buffer(), np.uint64)
-    tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), "<u4")
+    tokens = _unfolded(batch.column("tokens")[i].as_buffer())
     return vocabulary[tokens] if len(tokens) else vocabulary[:0], np.array(batch.column("first")[i].values, dtype=np.int64)
 
 
@@ -121,7 +132,7 @@ def score_block(words: np.ndarray, first: np.ndarray, totals: np.ndarray, all_wo
     return score, alone
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, discount: float = 0.4, separators: np.ndarray = textkit.SPACED, block_bytes: int = 6 << 20, part_grams: int = 2_000_000) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, discount: float = 0.4, separators: np.ndarray = textkit.SPACED, block_bytes: int = 3 << 20, part_grams: int = 2_000_000) -> DataFrame:
     """(id_col, n_words, n_alone, log_score, mean_log_score) for every row of docs.
 
     part_grams: about how many n-grams of the corpus one partition of the count table gets.
