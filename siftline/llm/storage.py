@@ -17,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="siftline-")
     spark.conf.set("spark.checkpoint.dir", root)
