@@ -9,7 +9,7 @@ enough rated texts have, so that rare words add no noise.
 Model. One weight vector w is shared by all grades, and thresholds t_1 < t_2 < ... give
 P(grade >= j) = sigmoid(w x - t_j). Gaps between thresholds are kept positive by fitting their
 logarithms. The fit sees at most `max_labelled` labelled rows, those of the least id hashes; of
-these every fifth is held out, to choose the probability from which a text is selected. Scoring is
+these a fifth is held out, to choose the probability from which a text is selected. Scoring is
 one pass over all rows without a shuffle.
 
 Labels that are null or not in docs are left out; without any two grades among them the model
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .storage import ship
+from .storage import Scratch, ship
 
 #: ASCII signs other than letters, digits, white space and control characters
 SIGNS = np.zeros(256, dtype=bool)
@@ -65,39 +65,72 @@ def bucket_counts(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[
     return key // buckets, key % buckets, 1 + np.log(count)
 
 
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """id, grade and the features of each row as packed numbers."""
+def _bucket_totals(rated: DataFrame, buckets: int, top: int) -> DataFrame:
+    """(bucket, in_top, in_low): of the rated texts that have a feature, those of the top grade and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in textkit.row_blocks(batches):
+            row, slot, _ = bucket_counts(data, offsets, buckets)
+            best = np.array(block.column("grade")) == top
+            seen, place = np.unique(slot, return_inverse=True)
+            high = np.bincount(place[best[row]], minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(high), pa.array(np.bincount(place, minlength=len(seen)) - high)], names=["bucket", "in_top", "in_low"])
+
+    return rated.select("grade", "text").mapInArrow(run, "bucket long, in_top long, in_low long").groupBy("bucket").agg(F.sum("in_top").alias("in_top"), F.sum("in_low").alias("in_low"))
+
+
+def parting_buckets(rated: DataFrame, buckets: int, top: int, kept: int, least_apart: float, least_rows: int) -> np.ndarray:
+    """The buckets whose presence differs most between the top grade and the others, kept at most, sorted."""
+    sizes = rated.agg(F.count(F.when(F.col("grade") == top, 1)).alias("t"), F.count(F.when(F.col("grade") != top, 1)).alias("l")).first()
+    n_top, n_low = max(sizes.t, 1), max(sizes.l, 1)
+    both = (F.col("in_top") + F.col("in_low")) / float(sizes.t + sizes.l or 1)
+    spread = F.sqrt(both * (1 - both) * (1 / n_top + 1 / n_low) + F.lit(1e-9))
+    apart = F.abs(F.col("in_top") / n_top - F.col("in_low") / n_low) / spread
+    totals = _bucket_totals(rated, buckets, top).where(F.col("in_top") + F.col("in_low") >= least_rows)
+    ranked = totals.select("bucket", apart.alias("apart")).where(F.col("apart") > least_apart).orderBy(F.desc("apart"), "bucket").limit(kept)
+    return np.array(sorted(r.bucket for r in ranked.collect()), dtype=np.int64)
+
+
+def _packed(rated: DataFrame, buckets: int, chosen: np.ndarray) -> DataFrame:
+    """grade, held and the chosen features of each row as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in textkit.row_blocks(batches):
             row, slot, value = bucket_counts(data, offsets, buckets)
+            row, slot, value = _only(chosen, row, slot, value)
             ends = np.searchsorted(row, np.arange(block.num_rows + 1))
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("grade"), cut(slot.astype("<u4")), cut(value.astype("<f4"))], names=["id", "grade", "slots", "values"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("grade"), block.column("held"), cut(slot.astype("<u4")), cut(value.astype("<f4"))], names=["id", "grade", "held", "slots", "values"])
+
+    return rated.select("id", "grade", "held", "text").mapInArrow(run, "id long, grade int, held boolean, slots binary, values binary")
+
 
-    return docs.select("id", "grade", "text").mapInArrow(run, "id long, grade int, slots binary, values binary")
+def _only(chosen: np.ndarray, row: np.ndarray, slot: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features in chosen buckets, by their place in chosen."""
+    if not len(chosen):
+        return row[:0], slot[:0], value[:0]
+    at = np.minimum(np.searchsorted(chosen, slot), len(chosen) - 1)
+    mine = chosen[at] == slot
+    return row[mine], at[mine], value[mine]
 
 
 class OrdinalModel:
     """Shared weights and ordered thresholds, fitted by Adam on the cumulative log-likelihood."""
 
-    def __init__(self, buckets: int = 1 << 18, grades: int = 3, ridge: float = 1e-5, steps: int = 600, rate: float = 0.1, kept: int = 300, least_apart: float = 6.0, least_rows: int = 6):
-        self.buckets, self.grades, self.ridge, self.steps, self.rate = buckets, grades, ridge, steps, rate
-        self.kept, self.least_apart, self.least_rows = kept, least_apart, least_rows
-        self.weights, self.thresholds, self.least = np.zeros(buckets, np.float64), np.linspace(-2, -1, grades - 1), 0.0
+    def __init__(self, chosen: np.ndarray, buckets: int = 1 << 18, grades: int = 3, ridge: float = 1e-5, steps: int = 600, rate: float = 0.1):
+        self.chosen, self.buckets, self.grades, self.ridge, self.steps, self.rate = chosen, buckets, grades, ridge, steps, rate
+        self.weights, self.thresholds, self.least = np.zeros(max(1, len(chosen))), np.linspace(-2, -1, grades - 1), 0.0
 
     def fit(self, row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray) -> OrdinalModel:
         n, k = len(grade), self.grades - 1
         if n == 0 or grade.min() == grade.max():
             return self
-        chosen = self._parting(row, slot, grade)
-        mine = chosen[slot]
-        row, slot, value = row[mine], slot[mine], value[mine]
         share = [np.clip((grade > j).mean(), 0.01, 0.99) for j in range(k)]
         start = np.array([np.log((1 - s) / s) for s in share])
         low, gaps = start[0], np.log(np.maximum(np.diff(start), 0.1))
-        w, theta = np.zeros(self.buckets), np.concatenate([[low], gaps])
-        moments = [np.zeros(self.buckets), np.zeros(self.buckets), np.zeros(k), np.zeros(k)]
+        size = len(self.weights)
+        w, theta = np.zeros(size), np.concatenate([[low], gaps])
+        moments = [np.zeros(size), np.zeros(size), np.zeros(k), np.zeros(k)]
         sure = np.clip([np.mean(grade == j) for j in range(self.grades)], 1e-6, 1)
         weight = (1 / np.sqrt(sure))[grade]
         weight /= weight.mean()
@@ -112,7 +145,7 @@ class OrdinalModel:
             dt = np.zeros(k)
             for j in range(k):
                 dt[j] = (weight / n * (slope[:, j + 1] * (grade == j + 1) - slope[:, j + 1] * (grade == j)) / likely).sum()
-            gw = np.bincount(slot, value * dz[row], self.buckets) + self.ridge * w
+            gw = np.bincount(slot, value * dz[row], size) + self.ridge * w
             gt = np.concatenate([[dt.sum()], [dt[j:].sum() * np.exp(theta[j]) for j in range(1, k)]])
             for g, x, m, v in ((gw, w, moments[0], moments[1]), (gt, theta, moments[2], moments[3])):
                 m += 0.1 * (g - m)
@@ -122,24 +155,14 @@ class OrdinalModel:
         self.thresholds = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
         return self
 
-    def _parting(self, row: np.ndarray, slot: np.ndarray, grade: np.ndarray) -> np.ndarray:
-        """The buckets whose presence differs most between the top grade and the others."""
-        top = grade == grade.max()
-        n_top, n_low = max(top.sum(), 1), max((~top).sum(), 1)
-        in_top = np.bincount(slot[top[row]], minlength=self.buckets)
-        in_low = np.bincount(slot[~top[row]], minlength=self.buckets)
-        both = (in_top + in_low) / len(grade)
-        apart = np.abs(in_top / n_top - in_low / n_low) / np.sqrt(both * (1 - both) * (1 / n_top + 1 / n_low) + 1e-9)
-        apart[in_top + in_low < self.least_rows] = 0
-        out = np.zeros(self.buckets, dtype=bool)
-        out[np.argsort(-apart, kind="stable")[: self.kept]] = True
-        return out & (apart > self.least_apart)
-
     def tails(self, row: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """P(grade >= 1), ..., P(grade >= top) for each of n rows."""
+        """P(grade >= 1), ..., P(grade >= top) for each of n rows; slots are places in chosen."""
         z = np.bincount(row, value * self.weights[slot], n) if len(row) else np.zeros(n)
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -30, 30)))
 
+    def text_tails(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.tails(*_only(self.chosen, *bucket_counts(data, offsets, self.buckets)), len(offsets) - 1)
+
     def choose_least(self, tail: np.ndarray, good: np.ndarray, keep_share: float) -> None:
         """The probability that parts good from other held-out rows best, but keeps at least keep_share of the good."""
         if not good.any() or good.all():
@@ -153,20 +176,22 @@ class OrdinalModel:
             self.least = float((tail[order[best]] + tail[order[min(best + 1, len(order) - 1)]]) / 2)
 
 
-def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 10_000, keep_share: float = 0.98) -> OrdinalModel:
+def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 12_000, keep_share: float = 0.98, kept: int = 300, least_apart: float = 4.5, least_rows: int = 6) -> OrdinalModel:
     """Fit on the rows of grades (id, grade from 0) whose id is in docs."""
-    ship(docs.sparkSession)
-    chosen = grades.where("id is not null and grade is not null").orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled)
-    rated = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_labelled rows at most
-    rows = sorted(_packed(rated, buckets).collect(), key=lambda r: (r.id, r.grade, bytes(r.slots)))[: 2 * max_labelled]
-    model = OrdinalModel(buckets, n_grades)
+    scratch = Scratch(docs.sparkSession, "grades")
+    sample = grades.where("id is not null and grade is not null").orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled)
+    sample = sample.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0)
+    rated = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # max_labelled rows at most
+    rated = scratch.save(rated, "rated")
+    chosen = parting_buckets(rated.where("not held"), buckets, n_grades - 1, kept, least_apart, least_rows)
+    model = OrdinalModel(chosen, buckets, n_grades)
+    rows = sorted(_packed(rated, buckets, chosen).collect(), key=lambda r: (r.id, r.grade, bytes(r.slots)))  # at most kept numbers for each labelled text
+    scratch.drop("rated")
     if not rows:
         return model
     slots = [np.frombuffer(r.slots, "<u4").astype(np.int64) for r in rows]
     values = [np.frombuffer(r["values"], "<f4").astype(np.float64) for r in rows]
-    grade = np.array([r.grade for r in rows])
-    held = textkit.mix(np.array([r.id for r in rows], dtype=np.int64).view(np.uint64)) % np.uint64(5) == 0
-    del rows
+    grade, held = np.array([r.grade for r in rows]), np.array([r.held for r in rows])
 
     def part(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(at):
@@ -188,7 +213,7 @@ def score_grades(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for block, data, offsets in textkit.row_blocks(batches):
-            tails = model.tails(*bucket_counts(data, offsets, model.buckets), block.num_rows)
+            tails = model.text_tails(data, offsets)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= model.least)], names=[id_col, "expected_grade", "tail_probability", "keep"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, expected_grade double, tail_probability double, keep boolean")
@@ -201,7 +226,7 @@ def select_graded(docs: DataFrame, model: OrdinalModel, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in textkit.row_blocks(batches, text_col):
-            tails = shared.value.tails(*bucket_counts(data, offsets, shared.value.buckets), block.num_rows)
+            tails = shared.value.text_tails(data, offsets)
             yield block.filter(pa.array(tails[:, -1] >= shared.value.least))
 
     return docs.mapInArrow(run, docs.schema)
