@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
 from .dedup import dedup_first
 
 #: The merge's cost for a record, in milliseconds, and its least estimate.
@@ -29,6 +30,7 @@ def assign_chunks(df: DataFrame, file: str, order: str, size: str, limit: int) -
     The fold runs over each file's rows in order. It streams: a task holds a batch and one running
     size, not a file.
     """
+    ship(df.sparkSession)
     names = df.columns
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,8 +6,8 @@ fields are complete. Quotes may open anywhere and protect separators; a doubled
 is a quote; an open quote runs to the end. Every field is trimmed, and a blank last one is no field.
 
 The native form never walks characters: separators within quotes are first replaced by control
-characters (which can't occur, as binary lines are gone), then three linear patterns take the first
-field, the second and the rest. The mask is only computed for lines that have a quote. Null lines are
+characters (which can't occur, as binary lines are gone), then the first two fields are cut at their
+separators, and one linear pattern takes the rest. The mask is only computed for lines that have a quote. Null lines are
 empty ones. parse_lines adds columns and keeps those of its input; names of the record win clashes.
 """
 
@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import WHITE_SPACE, normalize_url, normalize_username, trim_unicode
+from ..plans.shipping import ship
 
 #: Limits of the grammar, in bytes, and the fewest fields.
 MAX_LINE_BYTES = 40_960
 MAX_FIELD_BYTES = 4_096
 MIN_FIELDS = 2
-#: A control character that makes a line binary; a leading field; a field of the tail.
+#: A control character that makes a line binary; a field of the tail.
 CONTROL = r"[\p{Cc}&&[^\t\r\n]]"
-LEAD = r"^([^,@]*(?:@[^,:]*)?)([,:]|\z)"
 TAIL = r"([^,@ ]*(?:@[^,: ]*)?)([,: ]|\z)"
 _MASKED, _MASKS = ",: ", "\x01\x02\x03"
 
@@ -54,8 +54,15 @@ def mask_quotes(line: Column) -> Column:
     return F.when(line.contains('"'), F.array_join(F.transform(parts, piece), "")).otherwise(line)
 
 
-def _open(c: Column) -> Column:
-    return trim_unicode(F.translate(c, _MASKS, _MASKED))
+def lead_field(c: Column) -> Column:
+    """What stands before the first comma, or before the first colon that follows an @ there."""
+
+    def at_colon(part: Column) -> Column:
+        at = F.instr(part, "@")
+        colon = F.call_function("locate", F.lit(":"), part, F.greatest(at, F.lit(1)))
+        return F.when((at > 0) & (colon > 0), part.substr(F.lit(1), colon - 1)).otherwise(part)
+
+    return let(F.substring_index(c, ",", 1), at_colon)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,32 +73,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def line_fields(line: Column) -> Column:
     """The array of a clean line's fields."""
     none = F.array().cast("array<string>")
+    quoted = line.contains('"')
     after = lambda whole, part: whole.substr(F.length(part) + 2, F.length(whole))
-    kept = lambda part, done: let(_open(part), lambda f: F.when(done | (f != ""), F.array(f)).otherwise(none))
+    opened = lambda c: trim_unicode(F.when(quoted, F.translate(c, _MASKS, _MASKED)).otherwise(c))
+    kept = lambda part, done: let(opened(part), lambda f: F.when(done | (f != ""), F.array(f)).otherwise(none))
 
     def tail(rest: Column) -> Column:
         # the pattern always matches once more, emptily, at the end; a blank last field that no separator ended is no field
         def drop_blank(raw: Column) -> Column:
             last = F.element_at(raw, -2)
             real = F.size(raw) - 1
-            blank = (real > 0) & (F.coalesce(F.try_element_at(raw, F.lit(-2)), F.lit("")) != "") & rest.endswith(last) & (_open(last) == "")
-            return F.transform(F.slice(raw, 1, F.when(blank, real - 1).otherwise(real)), _open)
+            blank = (last != "") & (opened(last) == "") & rest.endswith(last)
+            return F.transform(F.slice(raw, 1, F.when(blank, real - 1).otherwise(real)), opened)
 
         return F.when(rest == "", none).otherwise(let(F.regexp_extract_all(rest, F.lit(TAIL), 1), drop_blank))
 
     def second(first: Column, rest: Column) -> Column:
         def with_second(f: Column) -> Column:
             done = F.length(rest) > F.length(f)
-            return F.concat(F.array(_open(first)), kept(f, done), F.when(done, let(after(rest, f), tail)).otherwise(none))
+            return F.concat(F.array(opened(first)), kept(f, done), F.when(done, let(after(rest, f), tail)).otherwise(none))
 
-        return let(F.regexp_extract(rest, LEAD, 1), with_second)
+        return let(lead_field(rest), with_second)
 
     def whole(masked: Column) -> Column:
         def with_first(f: Column) -> Column:
             done = F.length(masked) > F.length(f)
             return F.when(done, let(after(masked, f), lambda rest: second(f, rest))).otherwise(kept(f, F.lit(False)))
 
-        return let(F.regexp_extract(masked, LEAD, 1), with_first)
+        return let(lead_field(masked), with_first)
 
     return let(mask_quotes(line), whole)
 
@@ -131,6 +140,7 @@ def _strip(text: str) -> str:
 
 def split_fields_pandas(df: DataFrame, column: str = "value") -> DataFrame:
     """split_fields by an Arrow batch function instead of expressions."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
