@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .storage import Scratch
+from .storage import Scratch, small_side
 
 INDEX_SCHEMA = "shard string, doc_ids array<long>, first_word array<long>, terms binary, ends binary, positions binary"
 
@@ -184,7 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     scratch = Scratch(docs.sparkSession, "leakage-drop")
     found = decontaminate(docs, benchmark, id_col, text_col, **how)
     hit = scratch.save(found.where(F.size("hits") > 0).select(F.col(id_col).alias("_id")).distinct(), "hit")
-    return docs.join(hit, docs[id_col].cast("long") == hit["_id"], "left_anti")
+    return docs.join(small_side(hit), docs[id_col].cast("long") == hit["_id"], "left_anti")
 
 
 def _search(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int, slop: int, schema: str, id_col: str) -> DataFrame:

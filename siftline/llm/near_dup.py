@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from . import textkit
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, small_side
 
 
 def densify(sig: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -197,7 +197,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.save(spread.select("id", "key", "band").join(buckets, "key"), "members")
     stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.where("id <> hi and id <> lo and n > 2").select(F.col("hi").alias("a"), F.col("id").alias("b")))
     pairs = scratch.save(stars.distinct(), "pairs")
-    links = scratch.save(_confirmed(base, pairs, k, percent, separators), "links")
+    # only texts that share a bucket with another are needed from here on
+    needed = scratch.save(members.select("id").distinct(), "needed")
+    texts = scratch.save(base.join(small_side(needed), "id", "left_semi"), "texts")
+    links = scratch.save(_confirmed(texts, pairs, k, percent, separators), "links")
     labels = components(links, scratch, "first")
 
     # buckets of three are done: both centres have met everyone
@@ -211,9 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = placed.select("key", "band", "i", "j", "id", "label", "own", "n_shingles", "bands", "fine").groupBy("key", "i", "j").applyInArrow(_closer(fine, percent / 100), "a long, b long")
     met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.save(near.distinct().join(met, ["a", "b"], "left_anti"), "more")
-    found = scratch.save(links.unionByName(_confirmed(base, more, k, percent, separators)), "all-links")
+    found = scratch.save(links.unionByName(_confirmed(texts, more, k, percent, separators)), "all-links")
     labels = components(found, scratch, "last")
-    scratch.drop("members", "apart", "pairs", "more")
+    scratch.drop("members", "apart", "pairs", "more", "needed", "texts")
 
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("label", "rep").alias("root"))
     result = sketch.select("id", "n_shingles", "fp1", "fp2").join(by_class, ["fp1", "fp2"], "left")
@@ -224,14 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, all columns, with the document of least id of each group; of rows that share an id one stays.
 
-    Only the ids to drop are joined to the texts, and they are written first: a small table is
-    broadcast, others are shuffled. Rows of null id all stay.
+    Only the ids to drop are joined to the texts, and they are written first: up to BROADCAST_ROWS
+    are broadcast, more are shuffled. Rows of null id all stay.
     """
     scratch = Scratch(docs.sparkSession, "near-dup-drop")
     found = scratch.save(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("_id"), "kept"), "found")
     lost = scratch.save(found.where("not kept").select("_id").distinct(), "lost")
     repeated = scratch.save(found.where("kept and _id is not null").groupBy("_id").count().where("count > 1").select("_id"), "repeated")
-    rest = docs.join(lost, docs[id_col].cast("long") == lost["_id"], "left_anti")
+    rest = docs.join(small_side(lost), docs[id_col].cast("long") == lost["_id"], "left_anti")
     if repeated.limit(1).count():
         twice = rest.join(repeated, rest[id_col].cast("long") == repeated["_id"], "left_semi")
         one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.monotonically_increasing_id())
@@ -240,9 +243,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rest
 
 
-def _confirmed(base: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only texts that occur in a pair are shuffled."""
-    texts = base.where("id is not null")
+def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, percent, separators), "a long, b long").distinct()

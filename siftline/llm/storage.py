@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def ship(spark: SparkSession) -> None:
     context._siftline_sent = True
 
 
+#: Rows of up to a few numbers that may be broadcast: some tens of MB in a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked to be broadcast if it was counted to be small; else Spark shuffles."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 class Scratch:
     """Tables of one run below the shared folder; all are deleted when the driver's Python ends."""
 
