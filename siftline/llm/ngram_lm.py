@@ -2,11 +2,12 @@
 
 The corpus is cut to blocks of documents, which are stored as word numbers with the block's own
 vocabulary. Each block's distinct n-grams (of 1 to `order` words) are exploded to rows by hash
-partition, packed as sorted 64-bit hashes with their counts. Grouped by partition these make the
-n-gram count table; joined back to it, every block gets the corpus count of each of its n-grams.
-A last join brings a block's counts to its words, where they are summed per document. An n-gram that
-is in a third of all documents is one entry for each block, so no partition gets more than the
-number of blocks times the n-grams of its hash range; the number of partitions follows the corpus.
+partition, packed as sorted hashes with their counts (the partition's number and 48 more bits: at
+least 52, and more the larger the corpus). Grouped by partition these make the n-gram count table;
+joined back to it, every block gets the corpus count of each of its n-grams. A last join brings a
+block's counts to its words, where they are summed per document. An n-gram that is in a third of all
+documents is one entry for each block, so no partition gets more than the number of blocks times the
+n-grams of its hash range; the number of partitions follows the corpus.
 
 A document's own occurrences are taken off all counts (else nothing would ever back off). The word
 after a context of k - 1 words scores f(k-gram) / f(context) if the k-gram is seen elsewhere, else
@@ -45,6 +46,17 @@ def _unfolded(data) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+def _short(grams: np.ndarray, bits: int) -> bytes:
+    """The 48 bits after the first `bits`, which the partition's number tells."""
+    cut = (grams << np.uint64(bits)) >> np.uint64(16)
+    return (cut >> np.uint64(32)).astype("<u2").tobytes() + cut.astype("<u4").tobytes()
+
+
+def _long(data) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u2", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(data, "<u4", n, 2 * n)
+
+
 def _gram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For k = 1 to order: the places where a k-gram of one document begins, and its hash; lengths don't share hashes."""
     end = np.repeat(first[1:], np.diff(first))
@@ -86,10 +98,10 @@ def _exploder(order: int, bits: int):
                 part = (grams >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
                 ends = np.append(cuts[1:], len(part))
-                cells = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())  # noqa: B023, E731
+                cells = pa.array([_short(grams[a:b], bits) for a, b in zip(cuts, ends)], pa.binary())
                 small = counts.astype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[cuts]), pa.array([batch.column("block")[i].as_py()] * len(cuts), pa.string()), cells(grams), pa.array([zlib.compress(small[a:b].tobytes(), 1) for a, b in zip(cuts, ends)], pa.binary())],
+                    [pa.array(part[cuts]), pa.array([batch.column("block")[i].as_py()] * len(cuts), pa.string()), cells, pa.array([zlib.compress(small[a:b].tobytes(), 1) for a, b in zip(cuts, ends)], pa.binary())],
                     names=["part", "block", "grams", "counts"],
                 )
 
@@ -98,7 +110,7 @@ def _exploder(order: int, bits: int):
 
 def _counted(table: pa.Table) -> pa.Table:
     """One hash partition of the count table, joined to the blocks' n-grams."""
-    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+    grams = [_long(x.as_buffer()) for x in table.column("grams")]
     counts = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), "<u4") for x in table.column("counts")]).astype(np.int64)
     known, place = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(place, counts, len(known)).astype(np.int64)[place].astype("<u8")
