@@ -40,7 +40,12 @@ def main(argv: list[str] | None = None) -> int:
     try:
         files = discover_csv(spark, args.input)
         job = DedupJob(spark, config)
-        stats = job.run(files, args.output, resume=args.resume)
+        try:
+            stats = job.run(files, args.output, resume=args.resume)
+        except KeyboardInterrupt:
+            job.stop()
+            print("stopped; run again with --resume", file=sys.stderr)
+            return 130
         job.cleanup()
     except (FileNotFoundError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -13,6 +13,8 @@ from ..plans.workspace import Workspace
 #: Columns that together order lines: the file's place, the split's place in it, the line in the split.
 ORDER = ("file_index", "block_start", "line_id")
 
+MANY_FILES = 500_000
+
 
 def discover_csv(spark: SparkSession, directory: str) -> list[str]:
     """The files directly in directory whose name ends in .csv (in any case), in byte order of their paths.
@@ -71,6 +73,6 @@ def read_lines(spark: SparkSession, paths: list[str], keep_invalid: bool = False
     scan = reader.text(read).select("value", F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("_uri"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_id"))
     if not keep_invalid:
         scan = scan.where(F.is_valid_utf8("value"))
-    # a row for each file
+    # a row for each path of the list that the driver holds: broadcast up to MANY_FILES
     places = spark.createDataFrame([(u.replace("file:///", "file:/"), i, p) for u, i, p in index], "_uri string, file_index int, file_path string")
-    return scan.join(places, "_uri").select("value", "file_path", *ORDER)
+    return scan.join(F.broadcast(places) if len(index) <= MANY_FILES else places, "_uri").select("value", "file_path", *ORDER)

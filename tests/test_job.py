@@ -193,3 +193,21 @@ def test_stream_keeps_its_state(spark, tmp_path):
     run()
     out = spark.read.parquet(f"file://{tmp_path}/out")
     assert out.count() == 4 and out.select(F.countDistinct("key")).first()[0] == 4
+
+
+def test_stopped_from_the_keyboard(spark, tmp_path, monkeypatch, capsys):
+    files(tmp_path / "in", a="b,2\n")
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+
+    def interrupted(self, *args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(DedupJob, "_stage", interrupted)
+    config(tmp_path).to_file(tmp_path / "c.json")
+    assert main(["-i", str(tmp_path / "in"), "-o", f"file://{tmp_path}/r.csv", "-c", str(tmp_path / "c.json")]) == 130
+    assert "--resume" in capsys.readouterr().err and (tmp_path / "temp" / MANIFEST).exists()
+
+
+def test_scan_is_not_shuffled(spark, tmp_path):
+    plan = read_lines(spark, files(tmp_path, a="x\n"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
