@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, small_side
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -166,24 +166,29 @@ def range_search(x: np.ndarray, lists: np.ndarray, starts: np.ndarray, queries:
     return a[other], r[other]
 
 
-def _placed(rows: DataFrame, centroids, reach: float) -> DataFrame:
-    """Rows of the shards in centroids moved to child shards; others as they are."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+_ROW = "rep long, weight long, vec binary, shard string, home boolean"
+
+
+def _moved(rows: DataFrame, reach: float) -> DataFrame:
+    """Rows with their shard's centroids (mids, null where it isn't split) moved to child shards; was: the shard's size before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = batch.column("shard").to_pylist()
-            home = np.array(batch.column("home"))
+            shards, mids = batch.column("shard").to_pylist(), batch.column("mids")
+            home, n = np.array(batch.column("home")), batch.column("n")
             take, names, homes = [], [], []
-            for shard in set(shards):
-                at = np.array([i for i, s in enumerate(shards) if s == shard])
-                mid = shared.value.get(shard)
-                if mid is None:
-                    take += at.tolist()
+            by_shard: dict[str, list[int]] = {}
+            for i, shard in enumerate(shards):
+                by_shard.setdefault(shard, []).append(i)
+            for shard, places in by_shard.items():
+                at = np.array(places)
+                if not mids[places[0]].is_valid:
+                    take += places
                     names += [shard] * len(at)
                     homes += home[at].tolist()
                     continue
                 x = _unit(_vectors(batch.column("vec").take(pa.array(at))))
+                mid = np.frombuffer(mids[places[0]].as_buffer(), np.float64).reshape(-1, x.shape[1])
                 far = ((x[:, None, :] - mid[None, :, :]) ** 2).sum(axis=2)
                 own = far.argmin(axis=1)
                 gap = np.sqrt(((mid[own][:, None, :] - mid[None, :, :]) ** 2).sum(axis=2))
@@ -194,10 +199,11 @@ def _placed(rows: DataFrame, centroids, reach: float) -> DataFrame:
                 take += at[r].tolist()
                 names += [f"{shard}.{k}" for k in c.tolist()]
                 homes += (home[at[r]] & (own[r] == c)).tolist()
-            moved = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([moved.column("rep"), moved.column("weight"), moved.column("vec"), pa.array(names, pa.string()), pa.array(homes, pa.bool_())], names=["rep", "weight", "vec", "shard", "home"])
+            kept = pa.array(take, pa.int64())
+            moved = batch.take(kept)
+            yield pa.RecordBatch.from_arrays([moved.column("rep"), moved.column("weight"), moved.column("vec"), pa.array(names, pa.string()), pa.array(homes, pa.bool_()), n.take(kept)], names=["rep", "weight", "vec", "shard", "home", "was"])
 
-    return rows.select("rep", "weight", "vec", "shard", "home").mapInArrow(run, "rep long, weight long, vec binary, shard string, home boolean")
+    return rows.select("rep", "weight", "vec", "shard", "home", "mids", "n").mapInArrow(run, f"{_ROW}, was long")
 
 
 def _centroids(x: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
@@ -209,29 +215,39 @@ def _centroids(x: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
     return mid
 
 
-def cluster_shards(classes: DataFrame, scratch: Scratch, limit: float, shard_size: int, sample: int, split: int = 8) -> DataFrame:
-    """(rep, weight, vec, shard, home) from classes with a first shard for each label."""
+def cluster_shards(classes: DataFrame, scratch: Scratch, limit: float, shard_size: int, sample: int, split: int = 8, levels: int = 8) -> DataFrame:
+    """(rep, weight, vec, shard, home) from classes with a first shard for each label.
+
+    Centroids are fitted by shard, from about sample rows of it, in a task of its own, and joined to
+    the shard's rows. A shard is done when it is small, or nearly as large as the one that it was cut
+    from. Only whether any shard is left comes to the driver.
+    """
     reach = float(np.sqrt(2 - 2 * limit)) * (1 + 1e-9)
-    placed, final, level = scratch.save(classes, "placed-0"), set(), 0
-    while True:
-        sizes = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).collect()}
-        large = {s: n for s, n in sizes.items() if s not in final}
-        if not large or level >= 8:
-            return placed
-        ranked = placed.where(F.col("shard").isin(list(large))).select("shard", "vec", F.xxhash64("rep").alias("r"))
-        share = F.create_map(*[x for s, n in large.items() for x in (F.lit(s), F.lit(min(1.0, sample / n)))])
-        drawn = ranked.where((F.pmod("r", F.lit(1 << 20)) / F.lit(float(1 << 20))) < share[F.col("shard")])
-        by_shard: dict[str, list] = {}
-        for r in drawn.select("shard", "vec").toLocalIterator():  # about sample rows for each large shard
-            by_shard.setdefault(r.shard, []).append(np.frombuffer(r.vec, np.float64))
-        centroids = {s: _centroids(np.stack(v), min(split, max(2, -(-2 * large[s] // shard_size)))) for s, v in by_shard.items() if len(v) > split}
-        level += 1
-        new = scratch.save(_placed(placed, centroids, reach), f"placed-{level}")
-        grown = {r.shard: r.n for r in new.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).collect()}
-        # a child nearly as large as its parent is not worth splitting again
-        final = {s for s, n in grown.items() if (p := s.rpartition(".")[0]) not in large or n > 0.7 * large[p]} | {s for s in large if s not in centroids} | (final & set(grown))
-        scratch.drop(f"placed-{level - 1}")
+
+    def fit(table: pa.Table) -> pa.Table:
+        want = min(split, max(2, -(-2 * table.column("n")[0].as_py() // shard_size)))
+        x = _vectors(table.column("vec"))
+        mids = _centroids(x, want).tobytes() if len(x) > split else None
+        return pa.table({"shard": table.column("shard").slice(0, 1), "mids": pa.array([mids], pa.binary())})
+
+    placed = scratch.save(classes.select("rep", "weight", "vec", "shard", "home", F.lit(False).alias("done")), "placed-0")
+    for level in range(1, levels + 1):
+        sizes = scratch.save(placed.where("not done").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_size), f"sizes-{level}")
+        if not sizes.limit(1).count():
+            break
+        drawn = placed.where("not done").join(small_side(sizes), "shard")
+        drawn = drawn.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * F.col("n") < F.lit(sample << 20))
+        centroids = scratch.save(drawn.select("shard", "n", "vec").groupBy("shard").applyInArrow(fit, "shard string, mids binary").where("mids is not null"), f"centroids-{level}")
+        split_up = centroids.join(sizes, "shard")
+        moved = scratch.save(_moved(placed.where("not done").join(split_up, "shard", "left"), reach), f"moved-{level}")
+        now = moved.groupBy("shard").agg(F.count("*").alias("now"))
+        # not split, small enough, or a child nearly as large as its parent
+        over = F.col("was").isNull() | (F.col("now") <= shard_size) | (F.col("now") > 0.7 * F.col("was"))
+        done = moved.join(now, "shard").select("rep", "weight", "vec", "shard", "home", over.alias("done"))
+        new = scratch.save(placed.where("done").unionByName(done), f"placed-{level}")
+        scratch.drop(f"placed-{level - 1}", f"moved-{level}")
         placed = new
+    return placed.drop("done")
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, shard_size: int = 4000, sample: int = 2000, degree: int = 24, beam: int = 48, alpha: float = 1.2, least_recall: float = 0.995, audits: int = 64, queries_per_task: int = 4000) -> DataFrame:
