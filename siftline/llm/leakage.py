@@ -44,7 +44,7 @@ def index_shard(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return ordered[lead], ends.astype(np.int32), (order + gap[order]).astype(np.int32)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separators: np.ndarray = textkit.PLAIN, shard_bytes: int = 6 << 20) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separators: np.ndarray = textkit.PLAIN, shard_bytes: int = 2 << 20) -> DataFrame:
     """The positional index of docs, a row for each shard (INDEX_SCHEMA)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from . import textkit
 from .storage import Scratch, ship
 
 #: Words that a worker keeps with their ids, per tokenizer.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 _loaded: dict = {}
 
 

@@ -6,13 +6,14 @@ code points. Work arrays are bounded by STEP bytes of text, however long a docum
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STEP = 1 << 21
+STEP = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +64,8 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     wide = pa.types.is_large_string(texts.type)
     _, offs, data = texts.buffers()
     offsets = np.frombuffer(offs, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -131,6 +133,15 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
+def relax() -> None:
+    """Give memory that is not in use back to the system: a worker stays alive beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches to runs of rows of about limit bytes of text (one row at least), with their bytes and offsets."""
     for batch in batches:
@@ -141,3 +152,5 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: i
             end = min(end, n)
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+        del data, offsets
+    relax()
