@@ -34,6 +34,7 @@ from .storage import Scratch, ship
 #: Words that a worker keeps with their ids, per tokenizer.
 CACHE_WORDS = 700_000
 _loaded: dict = {}
+textkit.CACHES["tokenizers"] = _loaded.clear
 
 
 def _tokenizer(path: str):
@@ -116,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
-        for block, _, _ in textkit.row_blocks(batches):
+        for block, _, _ in textkit.row_blocks(batches, keep="tokenizers"):
             texts = [x or "" for x in block.column("text").to_pylist()]
             doc, number, start, length, crc, parts = [], [], [], [], [], []
             for i, ids in enumerate(encode_texts(texts, tokenizer, by_word)):

@@ -7,7 +7,7 @@ code points. Work arrays are bounded by STEP bytes of text, however long a docum
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +142,18 @@ def relax() -> None:
         pass
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches to runs of rows of about limit bytes of text (one row at least), with their bytes and offsets."""
+#: What other operators keep in this worker between tasks, and how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP, keep: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches to runs of rows of about limit bytes of text (one row at least), with their bytes and offsets.
+
+    Caches of this worker but the one named keep are dropped first.
+    """
+    for name, drop in CACHES.items():
+        if name != keep:
+            drop()
     for batch in batches:
         data, offsets = column_bytes(batch.column(column))
         at, n = 0, batch.num_rows
