@@ -250,7 +250,7 @@ def cluster_shards(classes: DataFrame, scratch: Scratch, limit: float, shard_siz
     return placed.drop("done")
 
 
-def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, shard_size: int = 4000, sample: int = 2000, degree: int = 24, beam: int = 48, alpha: float = 1.2, least_recall: float = 0.995, audits: int = 64, queries_per_task: int = 4000) -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, shard_size: int = 8000, sample: int = 2000, degree: int = 24, beam: int = 48, alpha: float = 1.2, least_recall: float = 0.995, audits: int = 64, queries_per_task: int = 4000) -> DataFrame:
     """(id_col, n_links, component_id, kept, audit_recall) for every row; see the module's text."""
     scratch = Scratch(rows.sparkSession, "vector-dup")
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
