@@ -2,10 +2,12 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. High-recall generators
 then propose overlapping spans: addresses with a spelled-out at sign, national phone numbers,
-grouped or bare digit runs, account and identity numbers. Boosted trees score each from its format
-and its context; the scores are calibrated on held-out examples, and each kind's threshold is the
-least probability that reached the wanted precision there. Accepted spans that overlap no base span
-are added, the likelier first where they overlap each other.
+grouped or bare digit runs, account and identity numbers. Numbers may stand beside each other: a run
+of digits, blanks and signs, of any length, is proposed whole and in every part, from one group of
+digits to another, that has the digits and at most the groups (NUMBERS) of a kind. Boosted trees
+score each from its format and its context; the scores are calibrated on held-out examples, and each
+kind's threshold is the least probability that reached the wanted precision there. Accepted spans
+that overlap no base span are added, the likelier first where they overlap each other.
 
 There are no labelled spans, so the trees are trained on examples made from a seed: well-formed and
 broken values of each kind in fitting and in unfitting contexts. Null or empty texts have no spans.
@@ -15,6 +17,7 @@ Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +79,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_CLUSTER = re.compile(r"[(]?[0-9][0-9\x20().\-/]{5,40}[0-9]")
+_RUN = re.compile(r"[0-9][0-9\x20().\-/]{5,}[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+_NATIONAL = re.compile(r"(?=((?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9]))")
+#: For each kind the least and most digits, and the most groups of digits that its written forms have.
+NUMBERS = {"phone": (7, 15, 7), "card": (13, 19, 5), "ssn": (9, 9, 3)}
+#: Groupings of payment cards by digits: all but the last group of four, or these.
+CARD_GROUPS = ([4, 6, 5], [4, 6, 4])
+#: Groupings of national phone numbers, without and with a leading 0.
+PHONE_GROUPS = ([3, 3, 4], [1, 3, 3, 4], [3, 4], [7], [8], [9], [10], [11])
+TRUNK_GROUPS = ([2, 2, 2, 2, 2], [3, 4, 4], [5, 6])
+BLOCK = 4096
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]{1,63}){1,4}")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 #: Fixed context words of each kind, and words that speak against personal data.
@@ -91,21 +104,40 @@ CONTEXT = {
 AGAINST = ("order", "invoice", "version", "isbn", "ref", "no.", "token", "password", "page", "total", "price")
 
 
+def _numbers(text: str, run: re.Match) -> Iterator[tuple[str, int, int]]:
+    """Every part of a run, from group to group of digits, that can be a number of some kind; the whole run has any number of groups."""
+    groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+    for i, (begin, _) in enumerate(groups):
+        digits = 0
+        for j in range(i, len(groups)):
+            end = groups[j][1]
+            digits += end - groups[j][0]
+            if digits > 19:
+                break
+            whole = i == 0 and j == len(groups) - 1
+            fits = [k for k, (least, most, parts) in NUMBERS.items() if least <= digits <= most and (whole or j - i < parts)]
+            if fits:  # an opening parenthesis belongs to the number if it is closed within
+                start = begin - (text[begin - 1 : begin] == "(" and ")" in text[begin:end])
+                yield from ((k, start, end) for k in fits)
+
+
+def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
+    if "@" in text or "at" in text:
+        yield from (("email", *m.span()) for m in _SPELLED.finditer(text))
+    for run in _RUN.finditer(text):
+        yield from _numbers(text, run)
+        yield from (("phone", *m.span(1)) for m in _NATIONAL.finditer(text, max(0, run.start() - 1), run.end()))
+    for m in _ACCOUNT.finditer(text):
+        yield ("iban", *m.span())
+        # what follows the account number can look like more of its blocks
+        for gap in re.finditer(r"\x20", m.group()):
+            if _ACCOUNT.fullmatch(text, m.start(), m.start() + gap.start()):
+                yield ("iban", m.start(), m.start() + gap.start())
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """High-recall proposals, overlapping and of several kinds."""
-    out = {("email", *m.span()) for m in _SPELLED.finditer(text)} if "@" in text or "at" in text else set()
-    for m in _CLUSTER.finditer(text):
-        digits = sum("0" <= c <= "9" for c in m.group())
-        if 7 <= digits <= 15:
-            out.add(("phone", *m.span()))
-        if digits == 9:
-            out.add(("ssn", *m.span()))
-        if 13 <= digits <= 19:
-            out.add(("card", *m.span()))
-        for inner in re.finditer(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", m.group()):
-            out.add(("phone", m.start() + inner.start(), m.start() + inner.end()))
-    out |= {("iban", *m.span()) for m in _ACCOUNT.finditer(text)}
-    return sorted(out)
+    return sorted(set(_proposals(text)))
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -141,6 +173,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(w in before for w in AGAINST)),
         float(re.search(r"(?:at\)|at\]|@)", span) is not None),
         float("=" in before[-2:] or "#" in before[-2:] or "$" in before[-2:]),
+        float(digits[:1] == "0"),
+        float(kind == "phone" and (groups in PHONE_GROUPS or digits[:1] == "0" and groups in TRUNK_GROUPS)),
+        float(kind == "card" and (set(groups[:-1]) <= {4} or groups in CARD_GROUPS)),
+        float(kind == "card" and (digits[0] in "3456" or "2221" <= digits[:4] <= "2720")),
     ]
 
 
@@ -152,46 +188,87 @@ def training_examples(seed: int = 7, per_kind: int = 500) -> tuple[np.ndarray, n
     number = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
 
     def card(good: bool) -> str:
-        body = pick("3456") + number(14)
-        ends = [str(d) for d in range(10) if luhn(body + str(d)) == good]
+        sizes = pick([[4, 4, 4, 4]] * 3 + [[4, 6, 5]])
+        faults = () if good else pick([("check",), ("check",), ("issuer",), ("groups",), ("check", "issuer"), ("check", "groups"), ("issuer", "groups"), ("check", "issuer", "groups")])
+        body = pick("0178" if "issuer" in faults else "3" if sizes[1] == 6 else "3456") + number(sum(sizes) - 2)
+        ends = [str(d) for d in range(10) if luhn(body + str(d)) != ("check" in faults)]
         x = body + pick(ends)
-        return x if rng.random() < 0.5 else pick(" -").join(x[i : i + 4] for i in range(0, 16, 4))
+        if "groups" in faults:
+            sizes = pick([[4, 12], [2, 4, 4, 4, 2], [8, 8], [3, 2, 4, 3, 4], [4, 11], [3, 5, 4, 4], [2] * 8])
+        cuts = np.cumsum([0, *sizes])
+        return x if "groups" not in faults and rng.random() < 0.5 else pick(" -").join(x[a:b] for a, b in zip(cuts, cuts[1:]) if x[a:b])
 
     def iban(good: bool) -> str:
-        land, body = pick(["DE", "FR", "ES", "NL"]), number(18)
+        land, body = pick(["DE", "FR", "ES", "NL"]), number(pick([11, 14, 18, 18, 20, 23]))
         check = 98 - int(body + "".join(str(int(c, 36)) for c in land) + "00") % 97
-        return f"{land}{(check if good else (check + 7) % 97):02d}{body}"
+        x = f"{land}{(check if good else (check + 7) % 97):02d}{body}"
+        return x if rng.random() < 0.5 else " ".join(x[i : i + 4] for i in range(0, len(x), 4))
 
-    def value(kind: str, good: bool) -> str:
+    def value(kind: str, good: bool, within: bool) -> str:
+        # a sound number together with one beside it, as candidates of a run have it
+        sound = pick([f"{number(3)}-{number(2)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"])
+        straddling = [f"{number(2)} {sound}", f"{sound} {number(4)}", f"{sound[4:]} {number(3)}-{number(2)}", f"{number(2)} {sound[:7]}"]
         if kind == "email":
             name, host = pick(["ann", "bob.lee", "j_doe", "info"]), pick(["mail", "corp", "uni"])
             return pick([f"{name} (at) {host}.org", f"{name}[at]{host}[dot]com", f"{name}(at){host}.net"]) if good else pick([f"{name}@{host}.x", f"5 @ {number(1)}.{number(2)}", f"a @ {number(2)}.{number(1)}"])
         if kind == "phone":
             a, b, c = number(3), number(3), number(4)
-            return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"]) if good else pick([number(8), f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}.{number(5)}", f"{number(1)} {number(1)} {number(1)} {number(1)} {number(1)} {number(1)} {number(1)}", number(16)[:15]])
+            pair, year = lambda: f"{int(rng.integers(10, 100))}", lambda: f"{int(rng.integers(1900, 2100))}"
+            abroad = [f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"0{number(2)} {number(4)} {number(4)}", f"0{number(4)} {number(6)}", f"1 {a} {b} {c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"{b}-{c}", f"{b}-{c}", f"{b} {c}", f"{number(4)}-{c}", f"{a}{b}{c}", f"{b}{c}", number(8), number(9)]
+            table = [" ".join(pair() for _ in range(int(rng.integers(4, 7)))), " ".join(year() for _ in range(int(rng.integers(2, 4)))), f"{year()}-{pair()}-{pair()}", f"{pair()}/{pair()}/{year()}", f"0{number(1)}-{pair()} {year()}-0{number(1)}", f"0{number(1)} {year()}-{pair()}-0{number(1)}", f"0{number(2)} {number(4)}", f"0{number(1)} {number(2)} {number(2)} {number(2)}"]
+            if good:
+                return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"] * 2 + abroad)
+            return pick(table + straddling) if within else pick([number(8), f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}.{number(5)}", f"{number(1)} {number(1)} {number(1)} {number(1)} {number(1)} {number(1)} {number(1)}", number(16)[:15], *table, *straddling])
         if kind == "card":
             return card(good)
         if kind == "iban":
-            return iban(good)
+            return iban(good) if good or rng.random() < 0.5 else f"{iban(True)} {number(4)}"
         if kind == "ssn":
-            return f"{number(3)}-{number(2)}-{number(4)}" if good else pick([number(9), f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(5)}"])
+            return pick([f"{number(3)}-{number(2)}-{number(4)}"] * 3 + [number(9)]) if good else pick([number(9), f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(5)}", f"{number(3)} {number(3)}-{number(3)}", f"{number(2)}-{number(4)} {number(3)}"])
         return f"{number(2)}.{number(2)}.{number(2)}.{number(1)}"
 
     rows, labels, kinds = [], [], []
     for kind in ("email", "phone", "card", "iban", "ssn"):
-        for i in range(2 * per_kind):
+        for i in range(2 * per_kind * (1 + 2 * (kind == "phone"))):
             good, helped = i % 2 == 0, rng.random() < 0.8
             # a broken value never counts; a sound one in a context that speaks against it doesn't either
             hostile = rng.random() < (0.15 if good else 0.4)
-            lead = [pick(filler) for _ in range(3)] + ([pick(AGAINST)] if hostile else [pick(CONTEXT[kind])] if helped and good else [])
-            prefix, body = " ".join(lead) + " ", value(kind, good)
-            text = prefix + body + " " + pick(filler)
+            # parts of runs of numbers stand in fitting contexts too
+            within = not hostile and helped and (good or (kind in ("phone", "card", "iban") and rng.random() < 0.5))
+            lead = [pick(filler) for _ in range(3)] + ([pick(AGAINST)] if hostile else [pick(CONTEXT[kind])] if within else [])
+            # other numbers can stand beside it
+            prefix, body = " ".join(lead) + " " + pick(["", "", "", f"{number(4)} ", f"{number(2)} / ", f"{number(3)}-{number(2)}-{number(4)}, "]), value(kind, good, within)
+            text = prefix + body + pick([" ", " ", " ", f" {number(4)} ", f" / {number(2)} ", f". {number(1)} "]) + pick(filler)
             rows.append(features(text, kind, len(prefix), len(prefix) + len(body)))
             labels.append(float(good and not hostile and (helped or kind in ("card", "iban"))))
             kinds.append(KINDS.index(kind))
     return np.array(rows), np.array(labels), np.array(kinds)
 
 
+class _Taken:
+    """Spans, merged where they overlap; whether another is free of them is found by bisection."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda x: x[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, span: tuple[str, int, int]) -> bool:
+        i = bisect_left(self.starts, span[2])
+        return i == 0 or self.ends[i - 1] <= span[1]
+
+    def add(self, span: tuple[str, int, int]) -> None:
+        """Only for a span that is free."""
+        i = bisect_left(self.starts, span[1])
+        self.starts.insert(i, span[1])
+        self.ends.insert(i, span[2])
+
+
 class SpanModel:
     """Boosted trees, their calibration, and a threshold for each kind."""
 
@@ -210,15 +287,19 @@ class SpanModel:
         return 1 / (1 + np.exp(-(self.slope * score + self.shift)))
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Accepted candidates that overlap neither a base span nor a likelier candidate."""
-        found = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        if not found:
-            return []
-        p = self._probability(self.trees.score(np.array([features(text, *c) for c in found])))
+        """Accepted candidates that overlap neither a base span nor a likelier candidate (to a hundredth; then the longer)."""
+        taken = _Taken(base)
+        found = [c for c in candidates(text) if taken.free(c)]
+        passed: list[tuple[float, tuple[str, int, int]]] = []
+        for at in range(0, len(found), BLOCK):
+            some = found[at : at + BLOCK]
+            p = self._probability(self.trees.score(np.array([features(text, *c) for c in some])))
+            passed += [(-x, c) for x, c in zip(p.tolist(), some) if x >= self.threshold[c[0]]]
         out: list[tuple[str, int, int]] = []
-        for i in np.lexsort((np.arange(len(p)), -p)).tolist():
-            if p[i] >= self.threshold[found[i][0]] and not any(found[i][1] < e and s < found[i][2] for _, s, e in out):
-                out.append(found[i])
+        for _, c in sorted(passed, key=lambda x: (round(x[0], 2), x[1][1] - x[1][2])):
+            if taken.free(c):
+                taken.add(c)
+                out.append(c)
         return out
 
 

@@ -74,3 +74,25 @@ def test_trees_learn():
     assert abs(p.mean() - y[2000:].mean()) < 0.02
     t = threshold_for(p, y[2000:], 0.99)
     assert y[2000:][p >= t].mean() >= 0.99
+
+
+def test_numbers_beside_numbers():
+    # every format in a run is proposed, however long the run is and whatever else stands in it
+    proposed = lambda t: {(k, t[s:e]) for k, s, e in pii.candidates(t)}
+    ssn, phone, card = ("ssn", "123-45-6789"), ("phone", "(555) 123-4567"), ("card", "4111 1111 1111 1111")
+    assert ssn in proposed("SSN 123-45-6789 2019") & proposed("SSN 123-45-6789. 5 people") & proposed("SSN: 123-45-6789 (12 May)")
+    assert {ssn, ("ssn", "987-65-4321")} <= proposed("ssn 123-45-6789 / 987-65-4321")
+    assert phone in proposed("call 10 20 30 40 50 60 70 80 90 11 12 (555) 123-4567 now")
+    assert phone in proposed("call (555) 123-4567" + " 1" * 100) & proposed("1 " * 100 + "(555) 123-4567")
+    assert {card, ("phone", "12/26 2019")} <= proposed("pay 4111 1111 1111 1111 12/26 2019")
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in proposed("DE89 3704 0044 0532 0130 00 2019")
+    model = pii.SpanModel()
+    found = lambda t: [t[s:e] for _, s, e in model.added(t, pii.base_spans(t))]
+    assert found("SSN 123-45-6789 2019") == found("SSN 123-45-6789. 5 people") == found("SSN: 123-45-6789 (12 May)") == ["123-45-6789"]
+    assert found("ssn 123-45-6789 / 987-65-4321") == ["123-45-6789", "987-65-4321"]
+    assert found("phone 2019 632-555-4827 5") == ["632-555-4827"]
+    assert found("card 4111 1111 1111 1111 12/26") == ["4111 1111 1111 1111"]
+    assert found("iban DE89 3704 0044 0532 0130 00 2019") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("call 020 7946 0958 today") == ["020 7946 0958"]
+    for clean in ("years 2019 2020 2021 2022 2023 2024 2025", "call 2019-05-06 2020-01-02", "pay 1234 5678 9012 3456 7890 1234"):
+        assert found(clean) == []
