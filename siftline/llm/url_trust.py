@@ -6,7 +6,8 @@ half of the time are trusted seeds, those blocked at least half of the time are
 
 Links between hosts are taken from the pages, counted by pair of hosts before they are shuffled, and
 carry two personalised PageRanks: trust flows from trusted seeds along links, distrust from blocked
-seeds against them (who links to bad hosts is suspect). A url that no rule fits is blocked if its
+seeds against them (who links to bad hosts is suspect), until what a score can still gain is far
+below the margin. A url that no rule fits is blocked if its
 host's distrust exceeds its trust by `margin`, and else allowed.
 
 The host is what stands after the first :// up to /, ? or #, with A-Z lowered; the path is what
@@ -17,6 +18,8 @@ stay within the page's own host and make no edge.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,25 +74,35 @@ def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = 12, damping: float = 0.85) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, kind): kind is trust or distrust, a seed has weight 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int | None = 12, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, kind): kind is trust or distrust, a seed has weight 1.
+
+    With rounds None, rounds go on until no host's score can still grow by more than tolerance. Scores only grow from round
+    to round, and the sum of what they grow by falls by damping at least, so the growth of their sum bounds all that is left.
+    """
     both = edges.select("src", "dst", "weight", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind")))
     out = both.groupBy("src", "kind").agg(F.sum("weight").alias("total"))
     flow = scratch.save(both.join(out, ["src", "kind"]).select("src", "dst", "kind", (F.lit(damping) * F.col("weight") / F.col("total")).alias("share")), "flow")
     start = scratch.save(seeds.select("host", "kind", F.lit(1 - damping).alias("score")), "seeds")
     ranks = start
     if flow.limit(1).count():
-        for turn in range(rounds):
+        total, left = 0.0, damping**3 / (1 - damping**3)
+        for turn in count() if rounds is None else range(rounds):
             moved = flow.join(ranks.withColumnRenamed("host", "src"), ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (F.col("share") * F.col("score")).alias("score"))
             ranks = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
             if turn % 3 == 2:
                 ranks = scratch.save(ranks, f"ranks-{turn}")
+                scratch.drop(f"ranks-{turn - 3}")
+                if rounds is None:
+                    before, total = total, ranks.agg(F.sum("score")).first()[0] or 0.0
+                    if (total - before) * left <= tolerance:
+                        break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", margin: float = 0.01, rounds: int = 12) -> DataFrame:
-    """(id_col, host, path, rule, verdict, trust, distrust) for every row of pages. rules: rule -> allow or block."""
+def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", margin: float = 0.01, rounds: int | None = None) -> DataFrame:
+    """(id_col, host, path, rule, verdict, trust, distrust) for every row of pages. rules: rule -> allow or block; rounds: until scores are settled to a hundredth of margin if None."""
     scratch = Scratch(pages.sparkSession, "url-trust")
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     if len(rules) <= INLINE_RULES:
@@ -107,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     seeds = per_host.select("host", kind.alias("kind")).where("kind is not null")
     edges = scratch.save(host_edges(pages, host, html_col), "edges")
     # written out, so that its size is known when the pages are joined: small tables are broadcast, others shuffled
-    scores = scratch.save(propagate(edges, seeds, scratch, rounds), "scores")
+    scores = scratch.save(propagate(edges, seeds, scratch, rounds, tolerance=margin / 100), "scores")
     judged = ruled.join(scores, "host", "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     by_graph = F.when(distrust - trust > margin, "block").otherwise("allow")

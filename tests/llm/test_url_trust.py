@@ -86,6 +86,26 @@ def test_who_links_to_bad_hosts_is_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_propagation_goes_on_until_it_is_settled(spark):
+    link = lambda h: f'<a href="http://{h}/">'
+    chain = ["bad.net", *(f"h{i}.org" for i in range(1, 21))]
+    rows = [(0, "http://bad.net/es/1", "")] + [(i, f"http://{chain[i]}/", link(chain[i - 1])) for i in range(1, 21)]
+    got = {r.page_id: r.verdict for r in url_trust.judge_urls(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect()}
+    assert [got[i] for i in range(21)] == ["block" if 0.15 * 0.85**i > 0.01 else "allow" for i in range(21)]
+
+
+def test_hubs_and_cycles_are_settled(spark):
+    rng = random.Random(8)
+    hosts = ["bad.net", "good.com", *(f"h{i}.org" for i in range(60))]
+    ends = [(a, b) for a in hosts for b in rng.choices(hosts[:5], k=2) + rng.choices(hosts, k=1)] + [(hosts[2], b) for b in hosts]
+    edges = {(a, b): float(ends.count((a, b))) for a, b in ends if a != b}
+    want = walk([(*e, w) for e, w in edges.items()], {"bad.net": "distrust", "good.com": "trust"}, 200)
+    rows = [(i, f"http://{a}/es/", f'<a href="//{b}/">') for i, (a, b) in enumerate(ends)]
+    for r in url_trust.judge_urls(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect():
+        assert r.trust == pytest.approx(want["trust"].get(r.host, 0), abs=1e-4) and r.distrust == pytest.approx(want["distrust"].get(r.host, 0), abs=1e-4)
+        assert r.verdict == (URL_RULES.get(r.rule) or ("block" if want["distrust"].get(r.host, 0) - want["trust"].get(r.host, 0) > 0.01 else "allow"))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert url_trust.judge_urls(none, URL_RULES).count() == 0
