@@ -3,10 +3,12 @@
 A notice can match anywhere in a text, so texts are read through overlapping windows: for each
 class of template lengths n, windows of 1.5 n words (rounded up) that begin at every fourth part of
 that. A copy of up to 1.125 n words then lies wholly in a window. Window and template are compared by
-MinHash over shingles of five words, `bands` bands of one row. A window that holds at least 0.8 of a
-template's shingles has a Jaccard similarity of about 0.43 or more with it, and misses all of 24
-bands with a probability of (1 - 0.43)^24, about 1e-6. Templates so retrieved are verified exactly:
-the share of the template's shingles, as words, that the window holds.
+MinHash over shingles of five words, in bands of one row. The least Jaccard similarity of a window
+that holds at least `share` of a template's shingles follows from their sizes: 1/4 for a notice of
+five words, 0.41 or more for the others. Each class of lengths has so many bands (65 for that notice,
+31 to 35 for the others) that such a window misses all of them with a probability of at most `miss`.
+Templates so retrieved are verified exactly: the share of the template's shingles, as words, that the
+window holds.
 
 Only windows around anchor words are made. Anchors are words of a template that stand in so many of
 its shingles (over a fifth) that no text can hold 0.8 of them without an anchor; so nothing is
@@ -82,24 +84,42 @@ def _shingle_array(words: Column, start: Column, end: Column) -> Column:
     return F.array_distinct(F.when(n >= SHINGLE, runs).otherwise(whole))
 
 
-def _signature(shingles: Column, bands: int) -> Column:
+def least_jaccard(n_words: int, n_shingles: int, share: float = 0.8) -> float:
+    """Of a full window that just holds the share of a template with n_shingles distinct shingles."""
+    need = max(1, math.ceil(share * n_shingles - 1e-9))
+    return need / (n_shingles + max(need, window_size(n_words) - SHINGLE + 1) - need)
+
+
+def bands_for(templates: dict[str, str], share: float = 0.8, miss: float = 1e-8) -> dict[int, int]:
+    """For each class of lengths as many bands as make all of them missed with a probability of miss at most."""
+    out: dict[int, int] = {}
+    for text in templates.values():
+        words = template_words(text)
+        j = least_jaccard(len(words), len(set(_shingles(words))), share)
+        wide = window_size(len(words))
+        out[wide] = max(out.get(wide, 1), math.ceil(math.log(miss) / math.log(1 - j)) if j < 1 else 1)
+    return out
+
+
+def _signature(shingles: Column, bands: Column) -> Column:
     """bands least hashes: the shingle's hash mixed with the band's number."""
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
-def _template_rows(spark: SparkSession, templates: dict[str, str], bands: int) -> DataFrame:
+def _template_rows(spark: SparkSession, templates: dict[str, str], bands: dict[int, int]) -> DataFrame:
     """(template, wide, wanted, band, value); as large as the list of templates, whatever the input."""
-    rows = [{"template": k, "wide": window_size(len(template_words(v))), "words": template_words(v)} for k, v in templates.items()]
-    listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<template:string,wide:int,words:array<string>>>")).alias("t")).select("t.*")
+    rows = [{"template": k, "wide": (wide := window_size(len(template_words(v)))), "bands": bands[wide], "words": template_words(v)} for k, v in templates.items()]
+    listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<template:string,wide:int,bands:int,words:array<string>>>")).alias("t")).select("t.*")
     wanted = listed.withColumn("wanted", _shingle_array(F.col("words"), F.lit(0), F.size("words")))
-    return wanted.select("template", "wide", "wanted", F.posexplode(_signature(F.col("wanted"), bands)).alias("band", "value"))
+    return wanted.select("template", "wide", "wanted", F.posexplode(_signature(F.col("wanted"), F.col("bands"))).alias("band", "value"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, share: float = 0.8, bands: int = 24) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, share: float = 0.8, miss: float = 1e-8) -> DataFrame:
     """(id_col, template, containment, first_word) for every document and template that it holds."""
     templates = TEMPLATES if templates is None else templates
-    wide = sorted({window_size(len(template_words(v))) for v in templates.values()})
+    bands = bands_for(templates, share, miss)
+    wide = sorted(bands)
     marks = sorted(anchors(templates, share))
     low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     holds = F.lit(False)
@@ -122,8 +142,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = split.withColumn("at", at).where("size(at) > 0")
     shingled = placed.select("id", F.explode(F.transform(F.concat(*map(starts, wide)), window)).alias("w")).select("id", "w.*")
-    signed = shingled.select("id", "wide", "first", "held", F.posexplode(_signature(F.col("held"), bands)).alias("band", "value"))
-    # broadcast: bands rows for each template of the list
+    n_bands = F.element_at(F.create_map(*[F.lit(x) for pair in bands.items() for x in pair]), F.col("wide"))
+    signed = shingled.select("id", "wide", "first", "held", F.posexplode(_signature(F.col("held"), n_bands)).alias("band", "value"))
+    # broadcast: as many rows as it has bands for each template of the list
     hits = signed.join(F.broadcast(_template_rows(docs.sparkSession, templates, bands)), ["wide", "band", "value"])
     contained = (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment")
     found = hits.select("id", "template", "first", contained).where(F.col("containment") >= share)

@@ -63,3 +63,18 @@ def test_odd_rows(spark):
 def test_short_template(spark):
     got = L.scan_licenses(spark.createDataFrame([(1, "spdx License: MIT"), (2, "a spdx license mit b")], DOCS), templates={"tag": "SPDX license MIT"}).collect()
     assert [r.doc_id for r in got] == [1]
+
+
+def test_short_notice_at_the_beginning(spark):
+    # windows that shared no band with the notice's single shingle when each class had 24 bands
+    docs = [(n, f"released under the mit license copyright {n} by") for n in range(20_000)]
+    got = L.scan_licenses(spark.createDataFrame(docs, DOCS))
+    assert got.where("template = 'MIT notice' and containment = 1").select("doc_id").distinct().count() == len(docs)
+
+
+def test_bands_follow_the_least_similarity():
+    bands = L.bands_for(L.TEMPLATES)
+    for text in L.TEMPLATES.values():
+        words = L.template_words(text)
+        j = L.least_jaccard(len(words), len(set(L._shingles(words))))
+        assert (1 - j) ** bands[L.window_size(len(words))] <= 1e-8
