@@ -10,8 +10,11 @@ In each shard a graph is built: of each node's nearest and some random others, r
 the closest and drops what one already kept is closer to (by the factor alpha). Lists of all
 shards, with their reverse links, are joined per node. The search runs each home vector from the
 shard's medoids: a greedy beam, and then a range expansion that follows every node near the limit
-until nothing new is in range. A sample of searches is audited against all vectors of the shard;
-below `least_recall` the beam is doubled and the shard searched again, up to the whole shard. Links
+until nothing new is in range. Searches of `audits` vectors that have partners are audited against all
+vectors of the shard, each with its own recall: vectors are drawn until so many with partners are
+found, or none is left. Below a mean of `least_recall` the beam is doubled and the shard searched
+again, up to the whole shard; if that falls short too, the shard is searched by brute force in blocks,
+so that no result is of less than `least_recall` on its audit; audit_recall says what was reached. Links
 are what has a cosine of at least the limit in double precision. A shard writes counts and one edge
 for each linked vector, not its pairs; components are joined over those edges.
 
@@ -98,6 +101,36 @@ def medoids(x: np.ndarray, count: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
+def all_in_range(x: np.ndarray, queries: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """What range_search looks for, by brute force: for as many queries as fit in memory with all rows."""
+    a, r = np.nonzero(x[queries] @ x.T >= limit - 1e-9)
+    a, r = a[r != queries[a]], r[r != queries[a]]
+    here = np.concatenate([np.einsum("nd,nd->n", x[queries[a[i : i + 100_000]]], x[r[i : i + 100_000]]) >= limit for i in range(0, len(a), 100_000)] or [np.zeros(0, dtype=bool)])
+    return a[here], r[here]
+
+
+def audited(x: np.ndarray, asks: np.ndarray, limit: float, audits: int, step: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Up to `audits` of asks that have partners, drawn at random, and the partners of each; fewer only if no more have any."""
+    asks = np.random.default_rng(5).permutation(asks)
+    queries, partners = [], []
+    for at in range(0, len(asks), step):
+        some = asks[at : at + step]
+        a, r = all_in_range(x, some, limit)
+        for i in np.unique(a)[: audits - len(queries)]:
+            queries.append(some[i])
+            partners.append(r[a == i])
+        if len(queries) >= audits:
+            break
+    return np.array(queries, dtype=np.int64), partners
+
+
+def mean_recall(n: int, partners: list[np.ndarray], a: np.ndarray, r: np.ndarray) -> float:
+    """Of the audited queries, each counted alike however many partners it has; of n rows."""
+    kept = np.isin(a * n + r, np.concatenate([i * n + p for i, p in enumerate(partners)]))
+    got = np.bincount(a[kept], minlength=len(partners))
+    return float(np.mean(got / np.array([len(p) for p in partners])))
+
+
 def range_search(x: np.ndarray, lists: np.ndarray, starts: np.ndarray, queries: np.ndarray, limit: float, beam: int, slack: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
     """(place in queries, row) of all rows found with an inner product of at least limit, the query itself left out."""
     n, q = len(x), len(queries)
@@ -299,21 +332,21 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
         lists = np.full((len(rep), max(1, degrees.max())), -1, dtype=np.int64)
         lists[owner, np.arange(len(owner)) - np.repeat(np.cumsum(degrees) - degrees, degrees)] = flat
         asks, starts = np.flatnonzero(np.array(table.column("asks"))), medoids(x)
-        audited = asks[:: max(1, -(-len(asks) // audits))]
-        width, recall = beam, 1.0
-        while len(audited):
-            a, r = range_search(x, lists, starts, audited, limit, width)
-            true = x[audited] @ x.T >= limit
-            true[np.arange(len(audited)), audited] = False
-            recall = float(true[a, r].sum() / true.sum()) if true.any() else 1.0
-            if recall >= least_recall or width >= len(x):
+        step = max(16, min(512, 8_000_000 // max(1, len(x))))
+        sample, partners = audited(x, asks, limit, audits, min(step, 128))
+        width, recall, exact = beam, 1.0, False
+        while len(sample):
+            recall = mean_recall(len(x), partners, *range_search(x, lists, starts, sample, limit, width))
+            if recall >= least_recall:
+                break
+            if width >= len(x):  # what the lists don't reach is never found
+                recall, exact = 1.0, True
                 break
             width *= 2
         counts, ends_a, ends_b = np.zeros(len(rep), np.int64), [], []
-        step = max(16, min(512, 8_000_000 // max(1, len(x))))
         for at in range(0, len(asks), step):
             some = asks[at : at + step]
-            a, r = range_search(x, lists, starts, some, limit, width)
+            a, r = all_in_range(x, some, limit) if exact else range_search(x, lists, starts, some, limit, width)
             counts[some] += np.bincount(a, weight[r], len(some)).astype(np.int64)
             ends_a.append(some[a])
             ends_b.append(r)

@@ -76,3 +76,20 @@ def test_recall_of_the_index():
     true = x[asks] @ x.T >= 0.93
     true[np.arange(len(asks)), asks] = False
     assert true.sum() > 10 and true[a, r].sum() / true.sum() >= 0.9
+
+
+def test_lone_pairs_in_a_poor_graph(spark):
+    # few vectors have partners, and lists of one neighbour don't reach them all
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=24)], 1) for i in range(600)]
+    rows += [(600 + i, [v + 0.02 for v in rows[100 * i][1]], 1) for i in range(6)]
+    rows += [(700 + i, [float(v) for v in 3 + rng.normal(size=24) * 0.1], 1) for i in range(80)]
+    check(spark, rows, degree=1, beam=1)
+
+
+def test_recall_counts_each_query_alike():
+    x = np.eye(3)
+    partners = [np.arange(1, 1000), np.array([5])]
+    a, r = np.zeros(999, np.int64), np.arange(1, 1000)
+    assert vector_dup.mean_recall(2000, partners, a, r) == 0.5
+    assert [len(v) for v in vector_dup.audited(x, np.arange(3), 0.9, 64, 2)] == [0, 0]
