@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. Documents of null
+id are decided like others, by a key of their own.
 
 1. quality: documents that the ordinal classifier rejects go.
 2. near_dedup: of each group of near duplicates (shingles of five words, similarity 0.8) one stays.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import grade_model, leakage, near_dup, packing, pii
-from siftline.llm.storage import Scratch
+from siftline.llm.storage import Scratch, with_keys
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.drop_near_duplicates(docs, k=5, percent=80)
+    keyed, key = with_keys(docs)
+    return near_dup.drop_near_duplicates(keyed, id_col=key, k=5, percent=80).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return leakage.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    keyed, key = with_keys(docs)
+    return leakage.drop_contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key, window=10).drop(key)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

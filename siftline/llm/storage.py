@@ -64,3 +64,22 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a key of every row in another column, and its name: the id, and for rows of null id a written number.
+
+    The numbers are beyond all ids, so that of like rows one that has an id comes first; where ids leave no room there
+    they are hashes of the rows' numbers. Without null ids nothing is written.
+    """
+    mark = f"key_{uuid.uuid4().hex}"  # docs may have any column names
+    key = F.col(id_col).cast("long")
+    keyed = docs.withColumn(mark, key)
+    nameless = docs.where(key.isNull())
+    if not nameless.limit(1).count():
+        return keyed, mark
+    last = docs.agg(F.max(key)).first()[0] or 0
+    row = F.monotonically_increasing_id()
+    number = row + F.lit(max(last, 0) + 1) if last < 1 << 61 else F.xxhash64(row, F.lit(mark))
+    written = Scratch(docs.sparkSession, "keys").save(nameless.withColumn(mark, number), "nameless")
+    return keyed.where(F.col(mark).isNotNull()).unionByName(written), mark

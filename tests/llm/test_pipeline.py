@@ -70,3 +70,19 @@ def test_stages(spark, db):
     tokens = sum(len(model.encode(t, add_special_tokens=False).ids) + 1 for t in after.values())
     assert sum(r.length for r in packed) == tokens
     assert len({r.sequence_id for r in packed}) <= 1.02 * tokens / 2048 + 1
+
+
+def test_rows_of_null_id_are_decided_like_others(spark, db):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    passage = max((t for (t,) in db.execute("select text from benchmark where text is not null").fetchall()), key=lambda t: len(plain(t)))
+    texts = {"named": "one two three four five six seven", "copy": "eight nine ten eleven twelve thirteen", "leak": f"so {passage} it", "last": "alone among all of these rows here"}
+    some = [(1, "named"), (None, "named"), (None, "named"), (None, "copy"), (None, "copy"), (None, "last"), (2**63 - 1, "last"), (None, "leak"), (3, "leak")]
+    for high in (False, True):
+        rows = [(d, texts[t], "en", "x", len(texts[t])) for d, t in some if high or d is None or d < 2**62]
+        docs = spark.createDataFrame(rows, documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+        once = corpus_pipeline.near_dedup(spark, docs, SF)
+        assert once.columns == docs.columns and sorted(r.text for r in once.collect()) == sorted(texts.values())
+        if not high:  # a row with an id comes before its copies without
+            assert {(r.doc_id, r.text) for r in once.collect()} >= {(1, texts["named"]), (3, texts["leak"]), (None, texts["copy"])}
+        clean = corpus_pipeline.decontamination(spark, docs, SF)
+        assert clean.columns == docs.columns and sorted(r.text for r in clean.collect()) == sorted(r[1] for r in rows if r[1] != texts["leak"])
