@@ -33,6 +33,13 @@ def small_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
+#: Row groups bound what a reading task holds of a table whose rows are long, however large its split is. Parquet
+#: looks at a group's size after a number of rows; without this it is a hundred, whatever their length.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "1000"}
+#: Reads of many ranges at a time leave a direct buffer, as large as its range, with each of the reading threads.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
 class Scratch:
     """Tables of one run below the shared folder; all are deleted when the driver's Python ends."""
 
@@ -47,8 +54,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a DataFrame that reads the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        df.write.mode("overwrite").options(**SMALL_GROUPS).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).options(**PLAIN_READS).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
