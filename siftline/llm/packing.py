@@ -4,8 +4,8 @@ Packing only looks at lengths, and there are at most `max_len` of them. So the d
 number of pieces of each length (at most max_len rows, whatever the corpus' size) and packs that
 histogram; equal bins are made together, as one pattern and a count. Each pattern gives each of its
 lengths a range of ranks, and pieces take places by their rank among the pieces of their length.
-Ranks come from counts by (length, salt) and a row number within them, so even a length that a
-third of all pieces share is spread over `salts` groups.
+Ranks come from counts by (length, salt) and a row number within them; the number of salts follows
+the number of pieces, so that a length that a third of all pieces share is spread over many groups.
 
 Filling. A bin takes the longest piece left, then again and again the longest that fits. While a gap
 stays, the bin's smallest piece is taken out if two unpacked pieces together fill the widened gap
@@ -17,8 +17,7 @@ others. Repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
-import os
-import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,111 +27,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import textkit
+from . import textkit, wordwise
 from .storage import Scratch, ship
 
-#: Words that a worker keeps with their ids, per tokenizer.
-CACHE_WORDS = 700_000
-_loaded: dict = {}
-textkit.CACHES["tokenizers"] = _loaded.clear
-
-
-def _tokenizer(path: str):
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
-
-
-_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def _learn(model, known: dict[bytes, bytes], words: list[bytes], special: list[bytes]) -> None:
-    """Put the ids of words into known, and of their parts before and after the signs that end them.
-
-    Words of letters only are encoded many at a time: each is one piece for the tokenizer, so its
-    ids are those of one word number. Where the numbers don't bear that out, words go one by one.
-    """
-    ended = {}
-    for w in words:
-        core = w.rstrip(_SIGNS)
-        if core and core != w and core[-1] < 128 and core[-1:].isalnum() and not any(x in w for x in special):
-            ended[w] = (core, w[len(core) :])
-    wanted = list({x for w in words for x in ended.get(w, (w,)) if x not in known})
-    plain = [x for x in wanted if x.decode().isalpha()]
-    single = [x for x in wanted if not x.decode().isalpha()]
-    for at in range(0, len(plain), 1000):
-        some = plain[at : at + 1000]
-        coded = model.encode(b" ".join(some).decode(), add_special_tokens=False)
-        ids, numbers = coded.ids, coded.word_ids
-        cuts = [i for i in range(len(numbers)) if i == 0 or numbers[i] != numbers[i - 1]]
-        if len(cuts) != len(some):
-            single += some
-            continue
-        for x, i, j in zip(some, cuts, [*cuts[1:], len(ids)]):
-            known[x] = _pack(ids[i:j])
-    for at in range(0, len(single), 5000):
-        some = single[at : at + 5000]
-        for x, coded in zip(some, model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-            known[x] = _pack(coded.ids)
-    for w, (core, tail) in ended.items():
-        known[w] = known[core] + known[tail]
-
-
-def encode_texts(texts: list[str], path: str, by_word: bool) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers, no special tokens added."""
-    model, known = _tokenizer(path)
-    if not by_word:
-        return [_pack(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-    special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
-    folded = [x.lower() for x in special]
-    split = []
-    for text in texts:
-        data = text.encode()
-        low = data.lower()
-        # case is left alone where it could tell: at a special token's string, and at combining marks U+0300 to U+037F
-        split.append((data if b"\xcc" in data or b"\xcd" in data or any(x in low for x in folded) else low).split())
-    missing = {w for ws in split for w in ws if w not in known}
-    if len(known) + len(missing) > CACHE_WORDS:
-        known.clear()
-        missing = {w for ws in split for w in ws}
-    _learn(model, known, list(missing), special)
-    return [b"".join([known[w] for w in ws]) for ws in split]
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, end_id: int = 0, by_word: bool = False, with_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]) for every piece of every document.
 
-    by_word: the tokenizer lowers case, drops white space and cuts letters from signs, so words cut
-    at ASCII white space give the same ids as the text, and distinct words are encoded once a worker.
+    by_word: the tokenizer is of the kind that wordwise.py tells of, so that distinct words are encoded once.
     """
     ship(docs.sparkSession)
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for block, _, _ in textkit.row_blocks(batches, keep="tokenizers"):
-            texts = [x or "" for x in block.column("text").to_pylist()]
-            doc, number, start, length, crc, parts = [], [], [], [], [], []
-            for i, ids in enumerate(encode_texts(texts, tokenizer, by_word)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * max_len)):
-                    part = ids[at : at + 4 * max_len]
-                    doc.append(i)
-                    number.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    parts.append(part)
-            out = [block.column("id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        words = wordwise.Words(tokenizer)
+        for block, data, offsets in textkit.row_blocks(batches, limit=wordwise.STEP):
+            if by_word:
+                ids, bounds = wordwise.encode_rows(data, offsets, words)
+            else:
+                coded = [np.array(e.ids, dtype="<u4") for e in words.whole.encode_batch_fast([x or "" for x in block.column("text").to_pylist()], add_special_tokens=False)]
+                ids, bounds = np.concatenate(coded), np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+            ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4", copy=False)
+            sizes = np.diff(bounds) + 1
+            many = -(-sizes // max_len)
+            doc = np.repeat(np.arange(len(sizes)), many)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = number * max_len
+            length = np.minimum(max_len, sizes[doc] - start)
+            begin = (bounds[:-1] + np.arange(len(sizes)))[doc] + start
+            raw = memoryview(ids).cast("B")
+            parts = [raw[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), length.tolist())]
+            out = [block.column("id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays(out + [pa.array(list(map(bytes, parts)), pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -197,12 +123,19 @@ def best_two_fit(counts: dict[int, int], max_len: int) -> list[tuple[int, list[i
     return out
 
 
-def pack(pieces: DataFrame, max_len: int = 2048, salts: int = 64) -> DataFrame:
-    """pieces (a column length of 1 to max_len, and others) with sequence_id and offset."""
+def pack(pieces: DataFrame, max_len: int = 2048, rows_per_group: int = 200_000) -> DataFrame:
+    """pieces (a column length of 1 to max_len, and others of any names) with sequence_id and offset.
+
+    The pieces of one length are ranked in as many groups as keep each to about rows_per_group rows, whatever share
+    of all pieces has that length. Columns of pieces that are named sequence_id or offset are replaced.
+    """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    stored = scratch.save(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts))), "pieces")
-    cells = scratch.save(stored.groupBy("length", "_salt").agg(F.count("*").alias("n")), "cells")
+    row, salt, base, rank = (f"{n}_{uuid.uuid4().hex}" for n in ("row", "salt", "base", "rank"))  # pieces may have any column names
+    stored = scratch.save(pieces.drop("sequence_id", "offset").withColumn(row, F.monotonically_increasing_id()), "pieces")
+    salts = -(-stored.count() // rows_per_group) or 1
+    stored = stored.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)))
+    cells = scratch.save(stored.groupBy("length", salt).agg(F.count("*").alias("n")), "cells")
     # at most max_len rows
     counts = {int(r.length): int(r.n) for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_two_fit(counts, max_len)
@@ -216,25 +149,25 @@ def pack(pieces: DataFrame, max_len: int = 2048, salts: int = 64) -> DataFrame:
             offset += per * length
         sequence += bins
     places = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in table.items()})
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cells.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    ranked = stored.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")).cast("long") - 1)
-    ranked = ranked.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base", "_salt", "_row")
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = cells.select("length", salt, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    ranked = stored.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)).cast("long") - 1)
+    ranked = ranked.join(bases, ["length", salt]).withColumn(rank, F.col(rank) + F.col(base)).drop(base, salt, row)
     names = ranked.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = np.array(batch.column("length")), np.array(batch.column("_rank"))
+            length, rank_of = np.array(batch.column("length")), np.array(batch.column(rank))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for one in np.unique(length).tolist():
                 at = np.flatnonzero(length == one)
                 rows = places.value[one]
-                hit = rows[np.searchsorted(rows[:, 0], rank[at], "right") - 1]
-                inner = rank[at] - hit[:, 0]
+                hit = rows[np.searchsorted(rows[:, 0], rank_of[at], "right") - 1]
+                inner = rank_of[at] - hit[:, 0]
                 sequence[at] = hit[:, 1] + inner // hit[:, 2]
                 offset[at] = hit[:, 3] + inner % hit[:, 2] * one
-            kept = [batch.column(c) for c in names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[c for c in names if c != "_rank"] + ["sequence_id", "offset"])
+            kept = [batch.column(c) for c in names if c != rank]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[c for c in names if c != rank] + ["sequence_id", "offset"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n != "_rank")
+    fields = ", ".join(f"`{n}` {t}" for n, t in ranked.dtypes if n != rank)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
