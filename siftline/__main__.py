@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-o", "--output", required=True, help="the file to write")
     out.add_argument("-c", "--config", default="config.json", help="JSON options; made with the defaults if missing")
     out.add_argument("-r", "--resume", action="store_true", help="go on with a job that was stopped")
-    out.add_argument("-v", "--verbose", action="store_true")
+    out.add_argument("-v", "--verbose", action="store_true", help="report the progress")
     return out
 
 
@@ -28,24 +28,28 @@ def main(argv: list[str] | None = None) -> int:
     config = JobConfig.from_file(path)
     if args.verbose:
         config = replace(config, verbose=True)
+    from pyspark import SparkConf
     from pyspark.sql import SparkSession
 
     from .plans.job import DedupJob
     from .sources.lines import discover_csv
 
     builder = SparkSession.builder.appName("siftline")
-    for name, value in config.spark_options().items():
+    for name, value in config.spark_options(cluster=SparkConf().contains("spark.master")).items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     try:
         files = discover_csv(spark, args.input)
         job = DedupJob(spark, config)
+        over = job.report(len(files), lambda line: print(line, file=sys.stderr, flush=True)) if config.verbose else lambda: None
         try:
             stats = job.run(files, args.output, resume=args.resume)
         except KeyboardInterrupt:
             job.stop()
             print("stopped; run again with --resume", file=sys.stderr)
             return 130
+        finally:
+            over()
         job.cleanup()
     except (FileNotFoundError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

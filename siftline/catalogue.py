@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import JobConfig
 from .functions import normalize as N
 from .functions import record as R
 from .operators import chunks, dedup, grammar
-from .plans.job import normalized_records
+from .plans.job import DedupJob, normalized_records, run_dedup
 from .plans.workspace import Workspace
+from .sources import discover_csv, read_lines
+from .sources.lines import ORDER
 from .streaming import stream_dedup
 
 
@@ -163,7 +166,7 @@ def merge_dedup(spark, sf_dir):
 
 def sort_dedup(spark, sf_dir):
     ordered = dedup.sort_dedup(keyed(spark, sf_dir).withColumn("line", R.to_csv_line(*map(F.col, grammar.RECORD))).select("key", "event_id", "line"), "key", ["event_id"])
-    return dedup.with_position(ordered, "key", Workspace(spark, "sort-dedup"))
+    return dedup.with_position(ordered, Workspace(spark, "sort-dedup"))
 
 
 def doc_dedup(spark, sf_dir):
@@ -189,7 +192,7 @@ def chunk_metadata(spark, sf_dir):
 def chunk_estimates(spark, sf_dir):
     size = F.col("n_chars")
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.greatest(F.lit(1), F.ceil(size / 1024)).cast("long").alias("chunks"), F.greatest(F.lit(chunks.LEAST_MERGE_MS), F.floor(size * chunks.MERGE_MS_PER_RECORD)).cast("long").alias("merge_ms"))
+    return docs.select("doc_id", chunks.estimate_chunk_count(size, 1024).alias("chunks"), chunks.estimate_merge_ms(size).alias("merge_ms"))
 
 
 def run_stats(spark, sf_dir):
@@ -208,10 +211,67 @@ def streamed_dedup(spark, sf_dir):
     return spark.read.schema("key string, line string").parquet(place.path("out")).select("key")
 
 
+def _line_files(spark: SparkSession, sf_dir: str, place: Workspace, hidden: bool = False) -> str:
+    """A folder of four line files in the order of events, and files that are none; with hidden, some lines that aren't UTF-8 and a hidden file."""
+    line = F.when(F.col("event_id") % 97 == 0, F.concat("line", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("line")) if hidden else F.col("line")
+    lines = rec_lines(spark, sf_dir).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("line"))
+    lines.write.option("lineSep", "\n").text(place.path("written"))
+    store, top = place.file_system(place.path("files"))
+    store.mkdirs(top)
+    parts = sorted(p for p in place.children(place.path("written")) if p.startswith("part-"))
+    for i, part in enumerate(parts):
+        name = ".third.CSV" if hidden and i == 2 else f"file-{i}.csv"
+        store.rename(place.file_system(place.path(f"written/{part}"))[1], place.file_system(place.path(f"files/{name}"))[1])
+    place.write_text(place.path("files/notes.txt"), "no,records\n")
+    return place.path("files")
+
+
+def _with_places(spark: SparkSession, place: Workspace, paths: list[str]) -> DataFrame:
+    """(pos, line) of the lines of files, in order."""
+    return dedup.with_position(read_lines(spark, paths).orderBy(*ORDER), place, "placed").select("pos", F.col("value").alias("line"))
+
+
+def read_line_files(spark, sf_dir):
+    """Discovery and scan: a hidden file counts, other files don't, lines that aren't UTF-8 go alone."""
+    folder = _line_files(spark, sf_dir, Workspace(spark, "read-lines"), hidden=True)
+    return read_lines(spark, discover_csv(spark, folder)).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def single_file_output(spark, sf_dir):
+    """The whole job: files in, one ordered file out, read again."""
+    place = Workspace(spark, "single-file")
+    paths = discover_csv(spark, _line_files(spark, sf_dir, place))
+    run_dedup(spark, paths, place.path("out/all.csv"), JobConfig(temp_directory=place.path("temp")))
+    return _with_places(spark, place, [place.path("out/all.csv")])
+
+
+def part_files_output(spark, sf_dir):
+    """The job by user and address, into ordered part files, read again."""
+    place = Workspace(spark, "part-files")
+    paths = discover_csv(spark, _line_files(spark, sf_dir, place))
+    run_dedup(spark, paths, place.path("out"), JobConfig(temp_directory=place.path("temp")), key="username_url", single_file=False)
+    return _with_places(spark, place, [place.path(f"out/{p}") for p in sorted(place.children(place.path("out"))) if p.startswith("part-")])
+
+
+def resume_job(spark, sf_dir):
+    """A job over half of the files, gone on with over all of them: what it counted, and how many files it had staged before."""
+    place = Workspace(spark, "resume")
+    paths = discover_csv(spark, _line_files(spark, sf_dir, place))
+    config = JobConfig(temp_directory=place.path("temp"))
+    run_dedup(spark, paths[:2], place.path("half.csv"), config, files_per_batch=1)
+    before = set(place.children(place.path("temp")))
+    job = DedupJob(spark, config, files_per_batch=1)
+    stats = job.run(paths, place.path("all.csv"), resume=True)
+    kept = len(paths[:2]) if before == set(place.children(place.path("temp"))) else 0
+    job.cleanup()
+    row = (stats.total_records, stats.unique_records, stats.duplicates_removed, stats.files_processed, kept, place.exists(place.path("temp")))
+    return spark.createDataFrame([row], "total long, unique_records long, duplicates long, files long, resumed long, left_over boolean")
+
+
 _NAMES = """scan_lines clean_line_filter parse_fields parse_quoted parse_pandas parse_reject_reasons normalize_username
 ascii_lower normalize_url normalize_host string_helpers batch_normalize dedup_key_ci dedup_key_cs field_count estimated_size
 email_filter dedup_first_ci dedup_first_cs dedup_by_url_key dedup_min_by intra_chunk_dedup merge_dedup sort_dedup doc_dedup
-to_csv_line record_json chunk_metadata chunk_estimates run_stats""".split()
+to_csv_line record_json chunk_metadata chunk_estimates run_stats read_line_files single_file_output part_files_output resume_job""".split()
 QUERIES = {name: globals()[name] for name in _NAMES} | {"stream_dedup": streamed_dedup}
 
 # -- SQL -------------------------------------------------------------------------------------------------------------
@@ -312,5 +372,9 @@ ORACLE_SQL = {
       select file, chunk_no, count(*) as records_read, count(*) filter (rn = 1) as record_count, sum(strlen(line) + 1) filter (rn = 1)::bigint as file_size_bytes from placed group by file, chunk_no""",
     "chunk_estimates": "select doc_id, greatest(1, ceil(n_chars / 1024.0))::bigint as chunks, greatest(1000, floor(n_chars * 0.001))::bigint as merge_ms from documents",
     "run_stats": f"{_PARSED}, k as (select {_KEY_CI} as key, event_id % 4 as file from parsed) select count(*) as total, count(distinct key) as unique_records, count(*) - count(distinct key) as duplicates, count(distinct file) as files from k",
+    "read_line_files": f"with {_REC} select line, count(*) as n from rec where event_id % 97 <> 0 group by line",
+    "single_file_output": f"{_PARSED}, k as (select event_id, {_KEY_CI} as key, {_LINE} as line from parsed), u as ({_first('key', 'k', 'key, line')}) select row_number() over (order by key) as pos, line from u",
+    "part_files_output": f"{_PARSED}, k as (select event_id, lower(username) || ':' || {_URL.format('url')} as key, {_LINE} as line from parsed), u as ({_first('key', 'k', 'key, line')}) select row_number() over (order by key) as pos, line from u",
+    "resume_job": f"{_PARSED}, k as (select {_KEY_CI} as key from parsed) select count(*) as total, count(distinct key) as unique_records, count(*) - count(distinct key) as duplicates, 4 as files, 2 as resumed, false as left_over from k",
     "stream_dedup": f"{_PARSED} select distinct {_KEY_CI} as key from parsed",
 }

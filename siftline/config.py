@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import os
 from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 
@@ -19,7 +19,12 @@ KEYS = ("username", "username_url")
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Options of a deduplication job. The two cuda options are accepted and checked, and have no effect on Spark."""
+    """Options of a deduplication job.
+
+    The three cuda options are accepted and checked, and have no effect on Spark. An empty temp_directory means a
+    folder in spark.checkpoint.dir. spark_options says what the sizes mean; verbose reports the progress every
+    merge_progress_interval_seconds.
+    """
 
     memory_usage_percent: float = 60.0
     chunk_size_mb: int = 512
@@ -28,7 +33,7 @@ class JobConfig:
     enable_cuda: bool = True
     cuda_batch_size: int = 100_000
     cuda_memory_percent: float = 80.0
-    temp_directory: str = str(Path(tempfile.gettempdir()) / "external_sort_temp")
+    temp_directory: str = ""
     enable_compression: bool = False
     merge_buffer_size_kb: int = 256
     case_sensitive: bool = False
@@ -59,17 +64,17 @@ class JobConfig:
     def chunk_size_bytes(self) -> int:
         return self.chunk_size_mb << 20
 
-    @property
-    def io_buffer_size_bytes(self) -> int:
-        return self.io_buffer_size_kb << 10
-
-    @property
-    def merge_buffer_size_bytes(self) -> int:
-        return self.merge_buffer_size_kb << 10
-
     def memory_limit_bytes(self, total: int) -> int:
         return int(total * self.memory_usage_percent / 100)
 
-    def spark_options(self) -> dict[str, str]:
-        """The options that have a counterpart in Spark."""
-        return {"spark.sql.files.maxPartitionBytes": str(min(self.chunk_size_bytes, 512 << 20))}
+    def spark_options(self, cluster: bool = False) -> dict[str, str]:
+        """The options that have a counterpart in Spark. Threads and memory are a cluster's own business."""
+        out = {
+            "spark.sql.files.maxPartitionBytes": str(min(self.chunk_size_bytes, 512 << 20)),
+            "spark.shuffle.file.buffer": f"{self.io_buffer_size_kb}k",
+            "spark.shuffle.unsafe.file.output.buffer": f"{self.merge_buffer_size_kb}k",
+        }
+        if not cluster:
+            total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+            out |= {"spark.master": f"local[{self.processing_threads}]", "spark.driver.memory": f"{self.memory_limit_bytes(total) >> 20}m"}
+        return out

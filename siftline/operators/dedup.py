@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.workspace import Workspace
+from .names import fresh
 
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
@@ -21,8 +22,9 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     A hash exchange; Spark limits each task's groups to one row before it, so that a hot key sends
     one row from each task. Null keys are one key; ties in order leave any one of the tied rows.
     """
+    rank = fresh(df, "_rn")
     ranked = Window.partitionBy(*keys).orderBy(*_columns(order))
-    return df.withColumn("_rn", F.row_number().over(ranked)).where("_rn = 1").drop("_rn")
+    return df.withColumn(rank, F.row_number().over(ranked)).where(F.col(rank) == 1).drop(rank)
 
 
 def dedup_in_runs(df: DataFrame, run: str, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -46,24 +48,26 @@ def sort_dedup(df: DataFrame, key: str, order: Sequence[str | Column], hot_keys:
     """
     if hot_keys:
         df = dedup_first(df, [key], order)
-    ranged = df.repartitionByRange(F.col(key))
-    first = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*_columns(order)))).where("_rn = 1").drop("_rn")
-    return first.orderBy(key)
+    return dedup_first(df.repartitionByRange(F.col(key)), [key], order).orderBy(key)
 
 
-def with_position(ordered: DataFrame, key: str, workspace: Workspace, name: str = "ordered") -> DataFrame:
-    """An ordered DataFrame with pos, the row's place from 1, without bringing rows to one task.
+def with_position(ordered: DataFrame, workspace: Workspace, name: str = "ordered") -> DataFrame:
+    """An ordered DataFrame with pos, the row's place from 1, without bringing rows to one task or a second shuffle.
 
-    The parts are written with their number, so that the offsets (a row for each part) fit them.
+    A row's part and its place in the part are taken in the stage that sorts, and written with it. A column pos of
+    ordered is replaced.
     """
-    kept = workspace.save(ordered.withColumn("_part", F.spark_partition_id()), name)
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("n"))
+    spot, base = fresh(ordered, "_spot"), fresh(ordered, "_base")
+    kept = workspace.save(ordered.drop("pos").withColumn(spot, F.monotonically_increasing_id()), name)
+    part = F.shiftright(F.col(spot), 33)  # the upper bits are the partition's number, the lower ones count its rows
+    sizes = kept.groupBy(part.alias(spot)).agg(F.count("*").alias("n"))
     # as many rows as parts
-    before = sizes.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = kept.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    return placed.join(F.broadcast(before), "_part").withColumn("pos", F.col("_base") + F.col("_in")).drop("_part", "_base", "_in")
+    before = sizes.select(F.col(spot).alias(base + "_part"), F.coalesce(F.sum("n").over(Window.orderBy(spot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base))
+    placed = kept.join(F.broadcast(before), part == F.col(base + "_part"))
+    return placed.withColumn("pos", F.col(base) + F.col(spot).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(spot, base, base + "_part")
 
 
 def keep_smallest(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """dedup_first by an aggregate (min_by); for comparison and for wide rows of which few columns are needed."""
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("_s")).select(*keys, "_s.*")
+    held = fresh(df, "_s")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias(held)).select(*keys, f"{held}.*")

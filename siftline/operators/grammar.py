@@ -13,7 +13,6 @@ empty ones. parse_lines adds columns and keeps those of its input; names of the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import WHITE_SPACE, normalize_url, normalize_username, trim_unicode
 from ..plans.shipping import ship
+from .names import fresh
 
 #: Limits of the grammar, in bytes, and the fewest fields.
 MAX_LINE_BYTES = 40_960
@@ -105,9 +105,9 @@ def line_fields(line: Column) -> Column:
     return let(mask_quotes(line), whole)
 
 
-def split_fields(df: DataFrame, column: str = "value") -> DataFrame:
-    """df (clean lines) with _fields, the array of a line's fields."""
-    return df.select("*", F.explode(F.array(line_fields(F.col(column)))).alias("_fields"))  # a generator: what follows can't be pushed into it
+def split_fields(df: DataFrame, column: str = "value", name: str = "_fields") -> DataFrame:
+    """df (clean lines) with the array of a line's fields as the column name."""
+    return df.select("*", F.explode(F.array(line_fields(F.col(column)))).alias(name))  # a generator: what follows can't be pushed into it
 
 
 def split_line(line: str) -> list[str]:
@@ -138,7 +138,7 @@ def _strip(text: str) -> str:
     return text.strip(WHITE_SPACE)
 
 
-def split_fields_pandas(df: DataFrame, column: str = "value") -> DataFrame:
+def split_fields_pandas(df: DataFrame, column: str = "value", name: str = "_fields") -> DataFrame:
     """split_fields by an Arrow batch function instead of expressions."""
     ship(df.sparkSession)
 
@@ -147,16 +147,16 @@ def split_fields_pandas(df: DataFrame, column: str = "value") -> DataFrame:
         for lines in batches:
             yield lines.map(split_line)
 
-    return df.withColumn("_fields", cut(F.col(column)))
+    return df.withColumn(name, cut(F.col(column)))
 
 
-def project_fields(df: DataFrame) -> DataFrame:
-    """df with the record's columns taken from _fields by place; rows with a fault have it in _fault."""
-    f = F.col("_fields")
+def project_fields(df: DataFrame, fields: str = "_fields", fault: str = "_fault") -> DataFrame:
+    """df with the record's columns taken by place from the column fields; rows with a fault have it in the column fault."""
+    f = F.col(fields)
     get = lambda i: F.coalesce(F.try_element_at(f, F.lit(i)), F.lit(""))
     out = df.withColumns({"username": get(1), "password": get(2), "url": get(3), "extra_fields": F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0)))})
     over = (F.octet_length("username") > MAX_FIELD_BYTES) | (F.octet_length("password") > MAX_FIELD_BYTES) | (F.octet_length("url") > MAX_FIELD_BYTES)
-    return out.withColumn("_fault", F.when(F.size(f) < MIN_FIELDS, "fields").when(F.col("username") == "", "username").when(over, "field_length")).drop("_fields")
+    return out.withColumn(fault, F.when(F.size(f) < MIN_FIELDS, "fields").when(F.col("username") == "", "username").when(over, "field_length")).drop(fields)
 
 
 def with_normalized(df: DataFrame) -> DataFrame:
@@ -164,19 +164,21 @@ def with_normalized(df: DataFrame) -> DataFrame:
 
 
 def parse_lines(df: DataFrame, column: str = "value", form: str = "native") -> DataFrame:
-    """df's parsable lines with the record's columns. form: native (expressions) or pandas."""
+    """df's parsable lines with the record's columns. form: native (expressions) or pandas.
+
+    Columns of df that are named like the record's are replaced; others, whatever their names, stay.
+    """
     clean = clean_lines(df.drop(*[c for c in (*RECORD, "normalized_username", "normalized_url") if c != column]), column)
-    cut = split_fields(clean, column) if form == "native" else split_fields_pandas(clean, column)
-    return with_normalized(project_fields(cut).where("_fault is null").drop("_fault"))
+    fields, fault = fresh(clean, "_fields"), fresh(clean, "_fault")
+    cut = (split_fields if form == "native" else split_fields_pandas)(clean, column, fields)
+    return with_normalized(project_fields(cut, fields, fault).where(F.col(fault).isNull()).drop(fault))
 
 
 def reject_reasons(df: DataFrame, column: str = "value") -> DataFrame:
     """df with reason: why a line is rejected, ok if it is not. Lines that can't be parsed are cut as empty lines."""
-    trimmed = df.withColumn(column, trim_unicode(F.coalesce(F.col(column), F.lit("")))).withColumn("_line_fault", line_fault(F.col(column)))
-    safe = trimmed.withColumn("_safe", F.when(F.col("_line_fault").isNull(), F.col(column)).otherwise(F.lit("")))
-    parsed = project_fields(split_fields(safe, "_safe"))
-    return parsed.withColumn("reason", F.coalesce("_line_fault", "_fault", F.lit("ok"))).drop("_line_fault", "_safe", "_fault", *[c for c in RECORD if c not in df.columns])
-
+    before, whole, fields, fault = (fresh(df, c) for c in ("_line_fault", "_safe", "_fields", "_fault"))
+    trimmed = df.withColumn(column, trim_unicode(F.coalesce(F.col(column), F.lit("")))).withColumn(before, line_fault(F.col(column)))
+    safe = trimmed.withColumn(whole, F.when(F.col(before).isNull(), F.col(column)).otherwise(F.lit("")))
+    parsed = project_fields(split_fields(safe, whole, fields), fields, fault)
+    return parsed.withColumn("reason", F.coalesce(before, fault, F.lit("ok"))).drop(before, whole, fault, *[c for c in RECORD if c not in df.columns])
 
-def is_binary(text: str) -> bool:
-    return re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", text) is not None

@@ -8,8 +8,11 @@ batches whose inputs are unchanged and whose options are the same, and does stag
 
 from __future__ import annotations
 
+import tempfile
+import threading
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +24,13 @@ from ..operators.dedup import dedup_first, sort_dedup
 from ..operators.grammar import RECORD, parse_lines
 from ..sources.lines import ORDER, read_lines
 from ..sources.sinks import write_parts, write_single
-from .manifest import Batch, Manifest, options_hash, validate_batches
+from .manifest import MANIFEST, Batch, Manifest, options_hash, validate_batches
 from .stats import JobStats, Phase, progress_percentage
 from .workspace import Workspace
 
+#: The folder for staged rows where no other is set.
+STAGING = "external_sort_temp"
+
 
 class DedupJob:
     """One run over a list of input files; see the module's text."""
@@ -51,26 +57,62 @@ class DedupJob:
         self.spark.sparkContext.cancelJobGroup(self.group)
 
     def progress(self, files: int) -> float:
+        """From 0 to 100; while merging, by the tasks of the merge's stages that Spark knows of."""
         if self.manifest is None:
             return 0.0
         done = sum(len(b.files) for b in self.manifest.batches)
-        return progress_percentage(Phase(self.manifest.phase), done, files)
+        return progress_percentage(Phase(self.manifest.phase), done, files, *self._tasks())
+
+    def _tasks(self) -> tuple[int, int]:
+        """Done and all tasks of this job's running Spark jobs."""
+        tracker = self.spark.sparkContext.statusTracker()
+        done = every = 0
+        for number in tracker.getJobIdsForGroup(self.group):
+            job = tracker.getJobInfo(number)
+            for stage in map(tracker.getStageInfo, job.stageIds if job is not None and job.status == "RUNNING" else ()):
+                if stage is not None:
+                    done, every = done + stage.numCompletedTasks, every + stage.numTasks
+        return done, every
+
+    def report(self, files: int, tell: Callable[[str], None]) -> Callable[[], None]:
+        """Tell the progress every merge_progress_interval_seconds until the returned function is called."""
+        over = threading.Event()
+
+        def watch() -> None:
+            while not over.wait(self.config.merge_progress_interval_seconds):
+                phase = self.manifest.phase if self.manifest else Phase.INITIALIZATION.value
+                tell(f"{phase}: {self.progress(files):.0f} %")
+
+        threading.Thread(target=watch, daemon=True).start()
+        return over.set
+
+    def _folder(self, workspace: Workspace) -> str:
+        """temp_directory, on the default file system unless it names another; if not set, a folder in the shared place."""
+        given = self.config.temp_directory
+        if given:
+            return workspace.qualified(given)
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            return f"{shared.rstrip('/')}/{STAGING}"
+        if self.spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set temp_directory or spark.checkpoint.dir to a folder that the driver and all executors share")
+        return f"file://{tempfile.gettempdir()}/{STAGING}"
 
     def run(self, paths: list[str], output: str, resume: bool = False) -> JobStats:
         began = time.time()
         if not paths:
             raise ValueError("no input files")
-        folder = self.config.temp_directory if "://" in self.config.temp_directory else f"file://{self.config.temp_directory}"
-        workspace = Workspace(self.spark, base=folder)
+        workspace = Workspace(self.spark, base="unused:/")
+        folder = self._folder(workspace)
         options = options_hash(self.config, self.key)
         manifest = Manifest(options, output)
         if resume and Manifest.exists(workspace, folder):
             saved = Manifest.load(workspace, folder)
             if saved.options != options:
                 raise ValueError("the saved job had other options; run without resume")
-            manifest.batches = saved.batches
+            manifest.batches, manifest.job = saved.batches, saved.job
         elif Manifest.exists(workspace, folder):
-            workspace.delete(f"{folder}/staged")
+            workspace.delete(f"{folder}/staged-{Manifest.load(workspace, folder).job}")
         self.manifest = manifest
         self.spark.sparkContext.setJobGroup(self.group, f"deduplicate {len(paths)} files", True)
         signed = [self._signature(workspace, p) for p in paths]
@@ -81,20 +123,26 @@ class DedupJob:
         todo = [i for i, p in enumerate(paths) if p not in staged]
         for at in range(0, len(todo), self.files_per_batch):
             some = todo[at : at + self.files_per_batch]
-            manifest.batches.append(self._stage(workspace, folder, paths, some, signed))
+            manifest.batches.append(self._stage(f"{folder}/staged-{manifest.job}", paths, some, signed))
             manifest.save(workspace, folder)
         validate_batches(manifest.batches, workspace)
         manifest.phase = Phase.MERGING.value
         manifest.save(workspace, folder)
-        unique = self._merge(manifest, output) if any(b.staged for b in manifest.batches) else 0
+        unique = self._merge(manifest.batches, output) if any(b.staged for b in manifest.batches) else 0
         manifest.phase = Phase.COMPLETED.value
         manifest.save(workspace, folder)
         return JobStats(sum(b.records for b in manifest.batches), unique, len(paths), len(manifest.batches), int(1000 * (time.time() - began)))
 
     def cleanup(self) -> None:
-        """Delete staged rows and the manifest."""
-        folder = self.config.temp_directory if "://" in self.config.temp_directory else f"file://{self.config.temp_directory}"
-        Workspace(self.spark, base=folder).delete(folder)
+        """Delete the saved job's staged rows and its manifest, and the folder if nothing else is in it."""
+        workspace = Workspace(self.spark, base="unused:/")
+        folder = self._folder(workspace)
+        if Manifest.exists(workspace, folder):
+            workspace.delete(f"{folder}/staged-{Manifest.load(workspace, folder).job}")
+            workspace.delete(f"{folder}/{MANIFEST}")
+        left = workspace.children(folder)
+        if set(left) <= {f".{MANIFEST}.crc"}:
+            workspace.delete(folder)
 
     def _signature(self, workspace: Workspace, path: str) -> list:
         store, target = workspace.file_system(path)
@@ -105,8 +153,8 @@ class DedupJob:
         status = store.getFileStatus(target)
         return [path, status.getLen(), status.getModificationTime()]
 
-    def _stage(self, workspace: Workspace, folder: str, paths: list[str], some: list[int], signed: list[list]) -> Batch:
-        name = f"{folder}/staged/{uuid.uuid4().hex}"
+    def _stage(self, folder: str, paths: list[str], some: list[int], signed: list[list]) -> Batch:
+        name = f"{folder}/{uuid.uuid4().hex}"
         lines = read_lines(self.spark, [paths[i] for i in some], ignore_failed_files=self.ignore_failed_files)
         # places in the batch become places in the whole list
         places = F.array(*[F.lit(i) for i in some])
@@ -116,8 +164,8 @@ class DedupJob:
         dedup_first(records, ["key"], ORDER).select("key", *RECORD, *ORDER).write.mode("overwrite").parquet(name)
         return Batch([signed[i] for i in some], name, int(seen.get["n"]), self.spark.read.parquet(name).count())
 
-    def _merge(self, manifest: Manifest, output: str) -> int:
-        rows = self.spark.read.parquet(*[b.folder for b in manifest.batches])
+    def _merge(self, batches: list[Batch], output: str) -> int:
+        rows = self.spark.read.parquet(*[b.folder for b in batches])
         seen = Observation()
         ordered = sort_dedup(rows, "key", ORDER).observe(seen, F.count(F.lit(1)).alias("n"))
         lines = self.rendered(ordered)

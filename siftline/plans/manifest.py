@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from ..config import JobConfig
@@ -35,6 +36,7 @@ class Batch:
 class Manifest:
     options: str
     output: str
+    job: str = field(default_factory=lambda: uuid.uuid4().hex)
     version: int = VERSION
     phase: str = Phase.INITIALIZATION.value
     timestamp: float = field(default_factory=time.time)
@@ -56,9 +58,14 @@ class Manifest:
 
 
 def validate_batches(batches: list[Batch], workspace: Workspace) -> None:
-    """An error for the first staged folder that is missing or was not finished."""
+    """An error for the first staged folder that is missing, was not finished, or holds another number of rows than were staged.
+
+    Staged rows need no order: the merge's range exchange makes it.
+    """
     for batch in batches:
         if not workspace.exists(batch.folder):
             raise FileNotFoundError(f"staged folder {batch.folder} does not exist")
         if not workspace.exists(f"{batch.folder}/_SUCCESS"):
             raise ValueError(f"staged folder {batch.folder} is not complete")
+        if (rows := workspace.spark.read.parquet(batch.folder).count()) != batch.staged:
+            raise ValueError(f"staged folder {batch.folder} has {rows} rows, not {batch.staged}")

@@ -53,10 +53,34 @@ class Workspace:
         stream = store.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if store.exists(target):
-            store.delete(target, False)
-        if not store.rename(beside, target):
-            raise OSError(f"could not replace {path}")
+        self.replace(beside, path)
+
+    def replace(self, beside, path: str) -> None:
+        """Rename a Hadoop path over path, in one step where the file system can: a crash leaves the old file or the new one."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        store, target = self.file_system(path)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        try:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(target).toUri(), conf)
+        except Exception:  # no such form of this file system: two steps
+            if store.exists(target):
+                store.delete(target, False)
+            if not store.rename(beside, target):
+                raise OSError(f"could not replace {path}") from None
+            return
+        context.rename(store.makeQualified(beside), store.makeQualified(target), over)
+
+    def qualified(self, path: str) -> str:
+        """path with the scheme of its file system: the default one unless it names another."""
+        store, target = self.file_system(path)
+        return store.makeQualified(target).toString()
+
+    def children(self, path: str) -> list[str]:
+        """The names of what is directly in path; none if it does not exist."""
+        store, target = self.file_system(path)
+        return [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
 
     def delete(self, path: str) -> None:
         store, target = self.file_system(path)

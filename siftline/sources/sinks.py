@@ -16,8 +16,8 @@ def write_parts(df: DataFrame, path: str, column: str = "line", compress: bool =
 def write_single(df: DataFrame, path: str, column: str = "line", compress: bool = False) -> bool:
     """One text file with all lines in order, replacing path; False, and no file, if there are no lines.
 
-    Parts are written in parallel and then joined end to end by the file system, so that no task
-    gets all rows.
+    Parts are written in parallel, so that no task gets all rows; the driver then copies their bytes, one part after
+    another, a buffer at a time. For output that one machine should not copy, write_parts.
     """
     spark = df.sparkSession
     workspace = Workspace(spark, "single")
@@ -40,10 +40,7 @@ def write_single(df: DataFrame, path: str, column: str = "line", compress: bool
                 stream.close()
         finally:
             out.close()
-        if out_store.exists(target):
-            out_store.delete(target, True)
-        if not out_store.rename(beside, target):
-            raise OSError(f"could not write {path}")
+        workspace.replace(beside, path)
         return True
     finally:
         workspace.delete(workspace.base)

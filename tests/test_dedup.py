@@ -42,7 +42,7 @@ def test_partial_limit_before_the_exchange(spark):
 
 def test_positions(spark):
     df = spark.range(2000).select(F.format_string("%05d", F.col("id") % 700).alias("key"), F.col("id").cast("int").alias("ord"))
-    rows = dedup.with_position(dedup.sort_dedup(df, "key", ["ord"]), "key", Workspace(spark)).orderBy("key").collect()
+    rows = dedup.with_position(dedup.sort_dedup(df, "key", ["ord"]), Workspace(spark)).orderBy("key").collect()
     assert [r.pos for r in rows] == list(range(1, 701))
 
 

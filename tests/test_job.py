@@ -1,6 +1,7 @@
 """Files in, files out: discovery, scan, job, resume, command line, streaming."""
 
 import json
+import time
 from dataclasses import replace
 from pathlib import Path
 
@@ -118,12 +119,12 @@ def test_resume_parses_only_what_is_left(spark, tmp_path, monkeypatch):
     staged = []
     stage = DedupJob._stage
 
-    def failing(self, workspace, folder, all_paths, some, signed):
+    def failing(self, folder, all_paths, some, signed):
         if some == [1] and not staged.count("stop"):
             staged.append("stop")
             raise RuntimeError("lost")
         staged.append(tuple(some))
-        return stage(self, workspace, folder, all_paths, some, signed)
+        return stage(self, folder, all_paths, some, signed)
 
     monkeypatch.setattr(DedupJob, "_stage", failing)
     job = DedupJob(spark, config(tmp_path), files_per_batch=1)
@@ -152,6 +153,75 @@ def test_incomplete_staging_is_an_error(spark, tmp_path):
     assert not Manifest.exists(workspace, f"file://{tmp_path}")
 
 
+def test_foreign_files_survive(spark, tmp_path, monkeypatch):
+    paths = files(tmp_path / "in", a="a,1\n")
+    foreign = tmp_path / "temp" / "staged" / "mine.txt"
+    foreign.parent.mkdir(parents=True)
+    foreign.write_text("mine")
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    config(tmp_path).to_file(tmp_path / "c.json")
+    run_dedup(spark, paths, f"file://{tmp_path}/r.csv", config(tmp_path))  # leaves a saved job behind
+    assert main(["-i", str(tmp_path / "in"), "-o", f"file://{tmp_path}/r.csv", "-c", str(tmp_path / "c.json")]) == 0
+    assert foreign.read_text() == "mine" and [p.name for p in (tmp_path / "temp").iterdir()] == ["staged"]
+
+
+def test_staging_is_shared(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    job = DedupJob(spark)
+    job.run(files(tmp_path / "in", a="a,1\n"), f"file://{tmp_path}/r.csv")
+    assert Path(shared.removeprefix("file://"), "external_sort_temp", MANIFEST).exists()
+    assert all(b.folder.startswith(shared) for b in job.manifest.batches)
+    job.cleanup()
+    assert not Path(shared.removeprefix("file://"), "external_sort_temp").exists()
+
+
+def test_staged_rows_are_counted(spark, tmp_path):
+    from siftline.plans.manifest import Batch
+
+    workspace = Workspace(spark)
+    workspace.save(spark.range(5), "five")
+    validate_batches([Batch([], workspace.path("five"), 9, 5)], workspace)
+    with pytest.raises(ValueError, match="5 rows, not 6"):
+        validate_batches([Batch([], workspace.path("five"), 9, 6)], workspace)
+
+
+def test_a_file_is_replaced_in_one_step(spark, tmp_path):
+    workspace, path = Workspace(spark), tmp_path / "state.json"
+    for text in ("old", "newer"):
+        workspace.write_text(f"file://{path}", text)
+        assert path.read_text() == workspace.read_text(f"file://{path}") == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["state.json"]
+
+
+def test_merging_progress_follows_tasks(spark, tmp_path, monkeypatch):
+    seen, told = [], []
+    merge = DedupJob._merge
+
+    def watched(self, batches, output):
+        monkeypatch.setattr(DedupJob, "_tasks", lambda self: (3, 4))
+        seen.append(self.progress(1))
+        monkeypatch.setattr(DedupJob, "_tasks", lambda self: (0, 0))
+        seen.append(self.progress(1))
+        over = self.report(1, told.append)
+        time.sleep(1.5)
+        over()
+        return merge(self, batches, output)
+
+    monkeypatch.setattr(DedupJob, "_merge", watched)
+    job = DedupJob(spark, config(tmp_path, merge_progress_interval_seconds=1))
+    assert job._tasks() == (0, 0)
+    job.run(files(tmp_path / "in", a="a,1\n"), f"file://{tmp_path}/r.csv")
+    assert seen == [80 + 15 * 3 / 4, 85.0] and told == ["Merging: 85 %"] and job.progress(1) == 100.0
+
+
+def test_options_reach_spark():
+    own = JobConfig(io_buffer_size_kb=128, merge_buffer_size_kb=512, processing_threads=3, chunk_size_mb=64)
+    got = own.spark_options()
+    assert got["spark.shuffle.file.buffer"] == "128k" and got["spark.shuffle.unsafe.file.output.buffer"] == "512k"
+    assert got["spark.master"] == "local[3]" and got["spark.sql.files.maxPartitionBytes"] == str(64 << 20)
+    assert "spark.master" not in own.spark_options(cluster=True) and own.memory_limit_bytes(1000) == 600
+
+
 def test_config(tmp_path):
     assert JobConfig().validate().chunk_size_bytes == 512 << 20
     for bad in ({"memory_usage_percent": 5}, {"memory_usage_percent": 95}, {"chunk_size_mb": 10}, {"chunk_size_mb": 5000}, {"processing_threads": 0}, {"processing_threads": 64}, {"cuda_batch_size": 1}):
