@@ -12,18 +12,20 @@ that bands of the same order agree on centres and others add new ones), and only
 centre to a member are candidates: at most two per member and bucket, never all pairs. Edges are
 confirmed on full sets and joined to components.
 
-The rest, exactly. A bucket whose members are then in one component is done. In the few others,
-pairs of different components have not all met. Their members are compared in blocks of at most
-`block` members a side, so that no task gets an unbounded bucket, and only by the first bucket that
-a pair shares. Sets of up to `fine` shingles are at hand as 32-bit hashes: they are counted, and the
-closest pair of each two components that reaches the limit is written out. Longer sets have a
-signature of `fine` bins: what comes within five standard errors of the limit is written out. All of
-it is confirmed on full sets. So each pair that shares a bucket is joined already, or confirmed, or
-too far.
-
-Rows of null id are returned with null component and are kept; rows that share an id count as one
-document, linked with whatever any of its texts is linked with. Null, empty or wordless texts have
-no shingles and are linked with nothing.
+The rest. A bucket whose members are then in one component is done. In the few others, pairs of
+different components have not all met. Their members are compared in blocks of about `block` shingles
+a side, so that no task gets an unbounded bucket, and only by the first bucket that a pair shares.
+Sets of any size are at hand as 32-bit hashes: they are counted, which never counts too few, and the
+closest pair of each two components that reaches the limit is confirmed on full sets. Where one
+fails (two shingles had the same 32 bits), the buckets are compared once more and all pairs that
+reach the limit are confirmed. So each pair that shares a bucket is joined already, or confirmed, or
+too far; what is lost are pairs that share no bucket. Members that all lie apart in one large bucket
+cost as many comparisons as they have pairs, spread over tasks.
+
+Nodes are classes of equal sets, known by the number of one of their rows. Rows that share an id
+count as one document, linked with whatever any of its texts is linked with. Rows of null id are
+returned with null component and are kept. Null, empty or wordless texts have no shingles and are
+linked with nothing. Equal hashes of 64 bits are taken for equal shingles.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,14 +80,11 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _marks(sets: list[np.ndarray], fine: int) -> np.ndarray:
-    """A byte for each of the finer bins of each set of 32-bit numbers."""
-    spread = [np.sort(textkit.mix(x.astype(np.uint64))) for x in sets]
-    return textkit.mix(signatures(spread, fine)).astype(np.uint8)
-
-
-def _sketcher(k: int, bins: int, rows: int, fine: int, separators: np.ndarray):
+def _sketcher(k: int, bins: int, rows: int, separators: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for block, data, offsets in textkit.row_blocks(batches):
             hashes, first = textkit.words(data, offsets, separators)
             sets = textkit.shingle_sets(hashes, first, k)
@@ -94,13 +94,17 @@ def _sketcher(k: int, bins: int, rows: int, fine: int, separators: np.ndarray):
             if len(full):
                 own = [sets[i] for i in full]
                 keys[full] = band_keys(signatures(own, bins), rows)
-                short = [textkit.mix(x).astype("<u4") for x in own]
-                for i, x in zip(full.tolist(), short):
-                    payload[i] = x.tobytes() if len(x) <= fine else _marks([x], fine)[0].tobytes()
+                for i, x in zip(full.tolist(), own):
+                    payload[i] = textkit.mix(x).astype("<u4").tobytes()
             one = np.array([textkit.mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64)
             two = np.array([np.bitwise_xor.reduce(textkit.mix(s * np.uint64(0xE7037ED1A0B428DB))) if len(s) else 0 for s in sets], dtype=np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands, pa.array(payload, pa.binary())], names=["id", "n_shingles", "fp1", "fp2", "bands", "fine"])
+            row = np.arange(number, number + len(sets))
+            number += len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [block.column("id"), block.column("print"), pa.array(row), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands, pa.array(payload, pa.binary())],
+                names=["id", "print", "row", "n_shingles", "fp1", "fp2", "bands", "small"],
+            )
 
     return run
 
@@ -127,101 +131,100 @@ def _verifier(k: int, percent: int, separators: np.ndarray):
     return run
 
 
-def _closer(fine: int, limit: float):
-    """Pairs of different components in one block pair of a bucket that are, or by their estimate may be, similar enough."""
+def _closer(limit: float, closest: bool):
+    """Pairs of different components in one block pair of a bucket that reach the limit; with closest, one of each two components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, labels, sizes, own = (np.array(table.column(c)) for c in ("id", "label", "n_shingles", "own"))
-        payload = table.column("fine").to_pylist()
+        ids, labels, own = (np.array(table.column(c)) for c in ("node", "label", "own"))
         bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
         earlier = bands[:, : table.column("band")[0].as_py()]
         same, left = key[1].as_py() == key[2].as_py(), own == key[1].as_py()
         right = left if same else ~left
-        out: list[np.ndarray] = []
-
-        def others(i: int, of: np.ndarray) -> np.ndarray:
-            ok = right & of & (labels != labels[i]) & ((ids > ids[i]) if same else (ids != ids[i]))
-            at = np.flatnonzero(ok)
-            return at[~(earlier[at] == earlier[i]).any(axis=1)] if len(at) else at  # the first bucket that a pair shares has it
-
-        short = sizes <= fine
-        # both sets are at hand: count, and write one pair for each two components
-        sets = [np.frombuffer(x, "<u4") if s else np.zeros(0, "<u4") for x, s in zip(payload, short)]
-        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        lengths = np.array([len(x) for x in sets])
+        lengths = np.array(pc.binary_length(table.column("small")), dtype=np.int64) // 4
         begins = np.cumsum(lengths) - lengths
+        _, flat = np.unique(np.frombuffer(b"".join(x.as_buffer() for x in table.column("small")), "<u4"), return_inverse=True)
+        flat = flat.astype(np.int32)
+        flag = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for i in np.flatnonzero(left & short).tolist():
-            at = others(i, short)
-            if len(at):
-                flag = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-                flag[flat[begins[i] : begins[i] + lengths[i]]] = 1
-                run_of = np.repeat(begins[at], lengths[at]) + np.arange(lengths[at].sum()) - np.repeat(np.cumsum(lengths[at]) - lengths[at], lengths[at])
-                shared = np.add.reduceat(flag[flat[run_of]], np.cumsum(lengths[at]) - lengths[at])
-                ratio = shared / (lengths[at] + lengths[i] - shared)
-                for j, r in zip(at[ratio >= limit].tolist(), ratio[ratio >= limit].tolist()):
-                    pair = (min(labels[i], labels[j]), max(labels[i], labels[j]))
-                    if r > best.get(pair, (0.0,))[0]:
-                        best[pair] = (r, i, j)
-        out += [np.array([[ids[i], ids[j]]]) for _, i, j in best.values()]
-        # a set is too long: go by the signature, and leave the rest to the confirmation
-        long = np.flatnonzero(~short)
-        if len(long):
-            sig = np.zeros((len(ids), fine), dtype=np.uint8)
-            for i, (x, s) in enumerate(zip(payload, short)):
-                sig[i] = _marks([sets[i]], fine)[0] if s else np.frombuffer(x, np.uint8)
-            for i in np.flatnonzero(left).tolist():
-                at = others(i, ~short if short[i] else np.ones(len(ids), dtype=bool))
-                if len(at):
-                    agree = (sig[at] == sig[i]).mean(axis=1)
-                    firm = 0.6 * np.minimum(fine, np.minimum(sizes[at], sizes[i]))
-                    at = at[agree >= limit - 5 * np.sqrt(limit * (1 - limit) / np.maximum(firm, 1))]
-                    out.append(np.stack([np.full(len(at), ids[i]), ids[at]], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])})
+        pairs: list[tuple[int, int]] = []
+        for i in np.flatnonzero(left).tolist():
+            at = np.flatnonzero(right & (labels != labels[i]) & ((ids > ids[i]) if same else (ids != ids[i])))
+            at = at[np.minimum(lengths[at], lengths[i]) >= limit * np.maximum(lengths[at], lengths[i]) * (1 - 1e-9)]
+            at = at[~(earlier[at] == earlier[i]).any(axis=1)]  # the first bucket that a pair shares has it
+            if not len(at):
+                continue
+            own_set = flat[begins[i] : begins[i] + lengths[i]]
+            flag[own_set] = True
+            run_of = np.repeat(begins[at] - (np.cumsum(lengths[at]) - lengths[at]), lengths[at]) + np.arange(lengths[at].sum())
+            shared = np.add.reduceat(flag[flat[run_of]].astype(np.int64), np.cumsum(lengths[at]) - lengths[at])
+            flag[own_set] = False
+            ratio = shared / np.maximum(lengths[at] + lengths[i] - shared, 1)
+            for j, r in zip(at[ratio >= limit - 1e-9].tolist(), ratio[ratio >= limit - 1e-9].tolist()):
+                if not closest:
+                    pairs.append((ids[i], ids[j]))
+                    continue
+                both = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+                if r > best.get(both, (0.0,))[0]:
+                    best[both] = (r, i, j)
+        pairs += [(ids[i], ids[j]) for _, i, j in best.values()]
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, fine: int = 512, orders: int = 4, block: int = 2000, separators: np.ndarray = textkit.SPACED) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bins: int = 128, rows: int = 4, orders: int = 4, block: int = 1_000_000, separators: np.ndarray = textkit.SPACED) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs; see the module's text."""
     scratch = Scratch(docs.sparkSession, "near-dup")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.save(base.mapInArrow(_sketcher(k, bins, rows, fine, separators), "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, fine binary"), "sketch")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    sketch = scratch.save(base.mapInArrow(_sketcher(k, bins, rows, separators), "id long, print long, row long, n_shingles long, fp1 long, fp2 long, bands array<long>, small binary"), "sketch")
     with_set = sketch.where("n_shingles > 0 and id is not null")
-    classes = scratch.save(with_set.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
-    reps = with_set.join(classes.withColumnRenamed("rep", "id"), ["fp1", "fp2", "id"], "left_semi")
-
-    spread = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "key", "band", F.xxhash64("id", F.col("band") % orders).alias("rank"))
-    buckets = spread.groupBy("key").agg(F.min_by("id", "rank").alias("lo"), F.max_by("id", "rank").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = scratch.save(spread.select("id", "key", "band").join(buckets, "key"), "members")
-    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.where("id <> hi and id <> lo and n > 2").select(F.col("hi").alias("a"), F.col("id").alias("b")))
+    least = with_set.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "row", "print")).alias("rep"))
+    classes = scratch.save(least.select("fp1", "fp2", F.col("rep.row").alias("node"), F.col("rep.id").alias("id"), F.col("rep.print").alias("print")), "classes")
+    reps = sketch.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+
+    spread = reps.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "key", "band", "n_shingles", F.xxhash64("node", F.col("band") % orders).alias("rank"))
+    buckets = spread.groupBy("key").agg(F.min_by("node", "rank").alias("lo"), F.max_by("node", "rank").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("lo <> hi")
+    members = scratch.save(spread.select("node", "key", "band").join(buckets, "key"), "members")
+    stars = members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(members.where("node <> hi and node <> lo and n > 2").select(F.col("hi").alias("a"), F.col("node").alias("b")))
     pairs = scratch.save(stars.distinct(), "pairs")
     # only texts that share a bucket with another are needed from here on
-    needed = scratch.save(members.select("id").distinct(), "needed")
-    texts = scratch.save(base.join(small_side(needed), "id", "left_semi"), "texts")
-    links = scratch.save(_confirmed(texts, pairs, k, percent, separators), "links")
-    labels = components(links, scratch, "first")
-
+    needed = scratch.save(classes.select("node", "id", "print").join(members.select("node").distinct(), "node"), "needed")
+    texts = scratch.save(base.join(small_side(needed), ["id", "print"]).select("node", "text"), "texts")
+    if texts.count() > needed.count():  # rows that are equal in id and text
+        texts = scratch.save(texts.dropDuplicates(["node"]), "texts-once")
+    links = scratch.save(_confirmed(texts, pairs, k, percent, separators), "links-0")
     # buckets of three are done: both centres have met everyone
-    named = members.where("n > 3").select("key", "band", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    apart = scratch.save(named.join(mixed, "key", "left_semi"), "apart")
-    marks = reps.select("id", "n_shingles", "bands", "fine").join(apart.select("id").distinct(), "id", "left_semi")
-    side = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    placed = apart.join(marks, "id").withColumn("own", F.pmod(F.xxhash64("id"), side)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
-    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    near = placed.select("key", "band", "i", "j", "id", "label", "own", "n_shingles", "bands", "fine").groupBy("key", "i", "j").applyInArrow(_closer(fine, percent / 100), "a long, b long")
-    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(near.distinct().join(met, ["a", "b"], "left_anti"), "more")
-    found = scratch.save(links.unionByName(_confirmed(texts, more, k, percent, separators)), "all-links")
-    labels = components(found, scratch, "last")
-    scratch.drop("members", "apart", "pairs", "more", "needed", "texts")
-
-    by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("label", "rep").alias("root"))
-    result = sketch.select("id", "n_shingles", "fp1", "fp2").join(by_class, ["fp1", "fp2"], "left")
-    root = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id")))
-    return result.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
+    crowded = members.where("n > 3").select("key", "band", "node", "size")
+    for turn, closest in ((1, True), (2, False)):
+        labels = components(links, scratch, f"turn-{turn}")
+        named = crowded.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        apart = scratch.save(named.join(mixed, "key", "left_semi"), f"apart-{turn}")
+        marks = reps.select("node", "bands", "small").join(apart.select("node").distinct(), "node", "left_semi")
+        side = F.ceil(F.col("size") / F.lit(block)).cast("long")
+        placed = apart.join(marks, "node").withColumn("own", F.pmod(F.xxhash64("node"), side)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
+        placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        near = placed.select("key", "band", "i", "j", "node", "label", "own", "bands", "small").groupBy("key", "i", "j").applyInArrow(_closer(percent / 100, closest), "a long, b long")
+        more = scratch.save(near.distinct(), f"more-{turn}")
+        asked = more.count()
+        if not asked:
+            break
+        confirmed = scratch.save(_confirmed(texts, more, k, percent, separators), f"confirmed-{turn}")
+        links = scratch.save(links.unionByName(confirmed), f"links-{turn}")
+        if confirmed.count() == asked:
+            break
+
+    own = [F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("node", "least")]
+    rows_of = scratch.save(sketch.select("id", "n_shingles", "fp1", "fp2").join(classes.select("fp1", "fp2", "node", F.col("id").alias("least")), ["fp1", "fp2"], "left").select("id", "n_shingles", *own), "rows")
+    twice = rows_of.where("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    links = links.unionByName(rows_of.join(twice, "id").select("a", F.col("node").alias("b")))
+    labels = components(links, scratch, "last").withColumnRenamed("id", "node")
+    roots = labels.join(classes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("root"))
+    by_node = scratch.save(labels.join(roots, "label").select("node", "root"), "roots")
+    scratch.drop("members", "pairs", "needed", "texts", "texts-once", *(f"{n}-{t}" for n in ("apart", "more", "links", "confirmed") for t in (0, 1, 2)))
+
+    root = F.when(F.col("id").isNotNull(), F.coalesce("root", "least", "id"))
+    return rows_of.join(by_node, "node", "left").select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -245,6 +248,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int, separators: np.ndarray) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(k, percent, separators), "a long, b long").distinct()

@@ -50,8 +50,9 @@ def test_row_blocks():
 
 def test_components(spark):
     rng = random.Random(9)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
+    edges = [(7, i) for i in range(20, 60)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
     want = roots({x for e in edges for x in e}, edges)
-    got = components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), Scratch(spark, "test"), "cc").collect()
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert {r.id: r.label for r in got} == {x: want[x] for x in linked}
+    for hub in (100_000, 4):
+        got = components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), Scratch(spark, "test"), "cc", hub=hub).collect()
+        assert {r.id: r.label for r in got} == {x: want[x] for x in linked}
