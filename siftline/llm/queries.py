@@ -19,7 +19,9 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_flat_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_dup import near_duplicate_vectors
 
-    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), limit=0.93).drop("audit_recall")
+    found = near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), limit=0.93)
+    # whether the search of the vector's shard reached the recall that it is audited for
+    return found.withColumn("audit_recall", F.coalesce(F.col("audit_recall") >= 0.995, F.lit(True))).withColumnRenamed("audit_recall", "audit_passed")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
  u as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
  links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id where list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.93),
  nodes as (select vec_id as id from embeddings), {_REACH}
- select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, root as component_id, root = e.vec_id as kept from embeddings e join roots on roots.id = e.vec_id""",
+ select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, root as component_id, root = e.vec_id as kept, true as audit_passed from embeddings e join roots on roots.id = e.vec_id""",
     "op4_benchmark_decontamination": f"""with d as ({_words("documents", "doc_id", _PLAIN)}), i as ({_words("benchmark", "item_id", _PLAIN)}),
  win as (select item_id, o - 1 as o, least(10, len(ws)) as n, ws[o:o + least(10, len(ws)) - 1] as wl from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) as o from i where len(ws) > 0)),
  lens as (select distinct n from win),

@@ -21,9 +21,9 @@ def vectors(n=700, dim=24, seed=3):
 def expected(rows, limit=0.93):
     good = [(i, np.array(v, dtype=np.float64), c) for i, v, c in rows if i is not None and c is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links = []
-    for i, x, c in good:
-        for j, y, d in good:
-            if i < j and c == d and len(x) == len(y) and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= limit:
+    for n, (i, x, c) in enumerate(good):
+        for j, y, d in good[n + 1 :]:
+            if c == d and len(x) == len(y) and x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= limit:
                 links.append((i, j))
     count = {r[0]: 0 for r in rows}
     for a, b in links:
@@ -52,9 +52,47 @@ def test_dense_group(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=16)
     rows = [(i, [float(v) for v in base + rng.normal(size=16) * 0.05], 1) for i in range(400)] + [(400 + i, [float(v) for v in rng.normal(size=16)], 1) for i in range(100)]
+    check(spark, rows, shard_size=100, block=70)
     check(spark, rows, shard_size=100)
 
 
+def clusters(seed=12, n=40, each=60, dim=256):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n, dim))
+    return np.concatenate([c + rng.normal(size=(each, dim)) * 0.15 for c in centres])
+
+
+def test_many_clusters_in_many_dimensions(spark):
+    x = clusters()
+    rows = [(i, [float(v) for v in y], 1) for i, y in enumerate(x)]
+    near = vector_dup._unit(x) @ vector_dup._unit(x).T >= 0.93
+    got = vector_dup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    assert len({r.component_id for r in got}) == 40 and all(r.audit_recall >= 0.995 for r in got)
+
+
+def test_the_graph_joins_far_clusters():
+    x = vector_dup._unit(clusters(seed=13))
+    lists = vector_dup.build_lists(x)
+    both = np.full((len(x), 400), -1, dtype=np.int64)
+    for i in range(len(x)):
+        own = np.unique(np.concatenate([lists[i][lists[i] >= 0], np.flatnonzero((lists == i).any(axis=1))]))
+        both[i, : len(own)] = own
+    asks = np.arange(0, len(x), 50)
+    a, r = vector_dup.range_search(x, both, vector_dup.medoids(x), asks, 0.93, 48)
+    true = x[asks] @ x.T >= 0.93
+    true[np.arange(len(asks)), asks] = False
+    assert len(set(zip(a.tolist(), r.tolist()))) == len(a) and true[a, r].sum() / true.sum() >= 0.995
+
+
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(5)
+    a, b = ([float(v) for v in rng.normal(size=16)] for _ in range(2))
+    rows = [(5, a, 1), (5, b, 1), (6, b, 1), (4, a, 2), (7, a, 1), (7, a, 1), (5, a, 2)]
+    got = vector_dup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(4, 1, 4), (5, 1, 4), (5, 1, 4), (5, 2, 4), (6, 1, 4), (7, 2, 4), (7, 2, 4)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1e-30, 0.0], 1)]
     check(spark, rows)
