@@ -1,8 +1,10 @@
-"""Personal data: base patterns, and candidates that boosted trees choose from.
+"""Personal data and secrets: base patterns, and candidates that boosted trees choose from.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. High-recall generators
 then propose overlapping spans: addresses with a spelled-out at sign, national phone numbers,
-grouped or bare digit runs, account and identity numbers. Numbers may stand beside each other: a run
+grouped or bare digit runs, account and identity numbers; and as secrets what is assigned to a name
+like password or token, long runs of letters and digits, keys of known beginnings, and private key
+blocks. Numbers may stand beside each other: a run
 of digits, blanks and signs, of any length, is proposed whole and in every part, from one group of
 digits to another, that has the digits and at most the groups (NUMBERS) of a kind. Boosted trees
 score each from its format and its context; the scores are calibrated on held-out examples, and each
@@ -10,7 +12,8 @@ kind's threshold is the least probability that reached the wanted precision ther
 that overlap no base span are added, the likelier first where they overlap each other.
 
 There are no labelled spans, so the trees are trained on examples made from a seed: well-formed and
-broken values of each kind in fitting and in unfitting contexts. Null or empty texts have no spans.
+broken values of each kind in fitting and in unfitting contexts. Context words count as whole words
+or, from four letters on, as beginnings of words. Null or empty texts have no spans.
 Offsets are code points, ends exclusive.
 """
 
@@ -29,14 +32,14 @@ from . import textkit
 from .boosted import BoostedTrees, calibrate, threshold_for
 from .storage import ship
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_TRIGGER = re.compile(r"[0-9@=]|\(at\)|\[at\]|-----BEGIN|(?<=[A-Za-z\"'\x20]):")
 
 
 def luhn(digits: str) -> bool:
@@ -90,8 +93,17 @@ CARD_GROUPS = ([4, 6, 5], [4, 6, 4])
 PHONE_GROUPS = ([3, 3, 4], [1, 3, 3, 4], [3, 4], [7], [8], [9], [10], [11])
 TRUNK_GROUPS = ([2, 2, 2, 2, 2], [3, 4, 4], [5, 6])
 BLOCK = 4096
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]{1,63}){1,4}")
+#: Lengths are those that addresses and account numbers can have: 64 before the sign, 63 a label, 34 in all.
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]{1,63})+")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"[:=]\x20*[\"']?([^\s\"'<>,;]{6,})")
+_LONG = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}")
+_BLOCK_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?")
+#: Names that secrets are assigned to, and how issued keys begin.
+NAMES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "secret_key", "private_key", "auth_key")
+ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "hf_", "npm_")
+#: Words beside digests and numbers that are no secrets.
+DIGESTS = ("sha", "md5", "commit", "checksum", "hash", "digest", "uuid", "etag", "revision", "build", "file")
 #: Fixed context words of each kind, and words that speak against personal data.
 CONTEXT = {
     "email": ("mail", "contact", "write", "reach"),
@@ -100,8 +112,11 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security", "tax"),
+    "secret": ("key", "secret", "token", "password", "credential", "auth", "login"),
 }
-AGAINST = ("order", "invoice", "version", "isbn", "ref", "no.", "token", "password", "page", "total", "price")
+AGAINST_OF = {"secret": DIGESTS}
+_WORD = re.compile(r"[a-z]+[0-9]*")
+AGAINST = ("order", "invoice", "version", "isbn", "ref", "token", "password", "page", "total", "price")
 
 
 def _numbers(text: str, run: re.Match) -> Iterator[tuple[str, int, int]]:
@@ -127,6 +142,14 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for run in _RUN.finditer(text):
         yield from _numbers(text, run)
         yield from (("phone", *m.span(1)) for m in _NATIONAL.finditer(text, max(0, run.start() - 1), run.end()))
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            if text[max(0, m.start() - 20) : m.start()].rstrip(" \"'").lower().endswith(NAMES):
+                yield ("secret", *m.span(1))
+    for m in _LONG.finditer(text):
+        yield ("secret", *m.span())
+    if "-----BEGIN" in text:
+        yield from (("secret", *m.span()) for m in _BLOCK_KEY.finditer(text))
     for m in _ACCOUNT.finditer(text):
         yield ("iban", *m.span())
         # what follows the account number can look like more of its blocks
@@ -146,7 +169,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     digits = "".join(c for c in span if "0" <= c <= "9")
     groups = [len(g) for g in re.findall(r"[0-9]+", span)] or [0]
     before, after = text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
-    near = before + " " + after
+    near, lead = _WORD.findall(before + " " + after), _WORD.findall(before)
+    said = lambda words, names: any(w == x or len(x) > 3 and w.startswith(x) for w in words for x in names)
+    shown = span[:200]
+    secret = kind == "secret"
     letters = span.replace(" ", "")
     moved = letters[4:] + letters[:4]
     mod97 = kind == "iban" and moved.isalnum() and moved.isascii() and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -169,14 +195,24 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         len(set(digits)),
         edge(text[start - 1 : start]),
         edge(text[end : end + 1]),
-        float(any(w in near for w in CONTEXT[kind])),
-        float(any(w in before for w in AGAINST)),
+        float(said(near, CONTEXT[kind])),
+        float(said(lead, AGAINST_OF.get(kind, AGAINST)) or (not secret and ("no." in before or "#" in before))),
         float(re.search(r"(?:at\)|at\]|@)", span) is not None),
         float("=" in before[-2:] or "#" in before[-2:] or "$" in before[-2:]),
         float(digits[:1] == "0"),
         float(kind == "phone" and (groups in PHONE_GROUPS or digits[:1] == "0" and groups in TRUNK_GROUPS)),
         float(kind == "card" and (set(groups[:-1]) <= {4} or groups in CARD_GROUPS)),
         float(kind == "card" and (digits[0] in "3456" or "2221" <= digits[:4] <= "2720")),
+        float(secret and before.rstrip(" :=\"'").endswith(NAMES) and re.search(r"[:=]\x20*[\"']?$", before) is not None),
+        float(secret and span.startswith(ISSUED)),
+        float(secret and span.startswith("-----BEGIN")),
+        float(secret and said(lead, DIGESTS)),
+        float(secret and all(c in "0123456789abcdef" for c in shown)),
+        float(secret and re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", shown) is not None),
+        float(secret) * len(set(shown)) / max(1, len(shown)),
+        float(secret) * sum(a.isdigit() != b.isdigit() for a, b in zip(shown, shown[1:])) / max(1, len(shown)),
+        float(secret) * sum(c.isupper() for c in shown) / max(1, len(shown)),
+        float(secret) * sum(c in "-_" for c in shown) / max(1, len(shown)),
     ]
 
 
@@ -204,7 +240,39 @@ def training_examples(seed: int = 7, per_kind: int = 500) -> tuple[np.ndarray, n
         x = f"{land}{(check if good else (check + 7) % 97):02d}{body}"
         return x if rng.random() < 0.5 else " ".join(x[i : i + 4] for i in range(0, len(x), 4))
 
-    def value(kind: str, good: bool, within: bool) -> str:
+    def drawn(signs: str, n: int) -> str:
+        return "".join(signs[int(i)] for i in rng.integers(0, len(signs), n))
+
+    def secret(good: bool) -> tuple[str, str, str]:
+        """What stands before a secret, or before what only looks like one, the value, and what follows."""
+        low, hexes, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        upper = mixed[:26] + "0123456789"
+        name, sign, mark = pick(NAMES), pick(["=", "=", ":", " = ", ": "]), pick(["", "", '"', "'"])
+        word = lambda: drawn(low, int(rng.integers(4, 11)))
+        if good:
+            kind = int(rng.integers(0, 5))
+            if kind == 0:
+                return "", pick(["AKIA", "ASIA"]) + drawn(upper, 16), ""
+            if kind == 1:
+                return "", pick(ISSUED[2:]) + drawn(mixed, int(rng.integers(24, 41))), ""
+            if kind == 2:
+                return pick(["", f"{name}{sign}"]), "-----BEGIN " + pick(["", "RSA ", "EC "]) + "PRIVATE KEY-----", ""
+            value = pick([drawn(hexes, int(rng.integers(12, 65))), drawn(mixed, int(rng.integers(10, 41))), drawn(mixed + "!$%&*+-.@_", int(rng.integers(8, 25))), word() + number(int(rng.integers(2, 5)))])
+            return f"{name}{sign}{mark}", value, mark
+        kind = int(rng.integers(0, 6))
+        if kind == 0:
+            return f"{pick(DIGESTS)}{pick([' ', ': ', '256 ', '='])}", drawn(hexes, int(rng.choice([32, 40, 64]))), ""
+        if kind == 1:
+            return pick(["", "id ", "uuid "]), "-".join(drawn(hexes, n) for n in (8, 4, 4, 4, 12)), ""
+        if kind == 2:
+            return "", "-".join([word(), word(), word(), number(int(rng.integers(1, 5)))]) + word(), ""
+        if kind == 3:
+            return f"{name}{sign}", pick(["required", "optional", "string", "unknown", "missing", "(none)", word() + "ing"]), ""
+        if kind == 4:
+            return "", "_".join([word(), word(), number(2), word()]) + word(), ""
+        return "", number(int(rng.integers(20, 40))), ""
+
+    def value(kind: str, good: bool, within: bool) -> str | tuple[str, str, str]:
         # a sound number together with one beside it, as candidates of a run have it
         sound = pick([f"{number(3)}-{number(2)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"])
         straddling = [f"{number(2)} {sound}", f"{sound} {number(4)}", f"{sound[4:]} {number(3)}-{number(2)}", f"{number(2)} {sound[:7]}"]
@@ -223,12 +291,14 @@ def training_examples(seed: int = 7, per_kind: int = 500) -> tuple[np.ndarray, n
             return card(good)
         if kind == "iban":
             return iban(good) if good or rng.random() < 0.5 else f"{iban(True)} {number(4)}"
+        if kind == "secret":
+            return secret(good)
         if kind == "ssn":
             return pick([f"{number(3)}-{number(2)}-{number(4)}"] * 3 + [number(9)]) if good else pick([number(9), f"{number(3)} {number(3)} {number(3)}", f"{number(4)}-{number(5)}", f"{number(3)} {number(3)}-{number(3)}", f"{number(2)}-{number(4)} {number(3)}"])
         return f"{number(2)}.{number(2)}.{number(2)}.{number(1)}"
 
     rows, labels, kinds = [], [], []
-    for kind in ("email", "phone", "card", "iban", "ssn"):
+    for kind in ("email", "phone", "card", "iban", "ssn", "secret"):
         for i in range(2 * per_kind * (1 + 2 * (kind == "phone"))):
             good, helped = i % 2 == 0, rng.random() < 0.8
             # a broken value never counts; a sound one in a context that speaks against it doesn't either
@@ -238,9 +308,15 @@ def training_examples(seed: int = 7, per_kind: int = 500) -> tuple[np.ndarray, n
             lead = [pick(filler) for _ in range(3)] + ([pick(AGAINST)] if hostile else [pick(CONTEXT[kind])] if within else [])
             # other numbers can stand beside it
             prefix, body = " ".join(lead) + " " + pick(["", "", "", f"{number(4)} ", f"{number(2)} / ", f"{number(3)}-{number(2)}-{number(4)}, "]), value(kind, good, within)
-            text = prefix + body + pick([" ", " ", " ", f" {number(4)} ", f" / {number(2)} ", f". {number(1)} "]) + pick(filler)
+            if kind == "secret":
+                hostile = False
+                prefix, (opening, body, closing) = " ".join(lead[:3]) + " ", body
+                prefix += opening
+            else:
+                closing = ""
+            text = prefix + body + closing + pick([" ", " ", " ", f" {number(4)} ", f" / {number(2)} ", f". {number(1)} "]) + pick(filler)
             rows.append(features(text, kind, len(prefix), len(prefix) + len(body)))
-            labels.append(float(good and not hostile and (helped or kind in ("card", "iban"))))
+            labels.append(float(good and not hostile and (helped or kind in ("card", "iban", "secret"))))
             kinds.append(KINDS.index(kind))
     return np.array(rows), np.array(labels), np.array(kinds)
 

@@ -52,7 +52,7 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
     found = find_personal_data(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
 
 
 def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

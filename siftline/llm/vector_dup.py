@@ -15,7 +15,8 @@ limit until nothing new is in range. Searches of `audits` vectors that have part
 all vectors of the shard, each with its own recall: vectors are drawn until so many with partners are
 found, or none is left. Below a mean of `least_recall` the beam is doubled and the shard searched
 again, up to the whole shard; if that falls short too, the shard is searched by brute force in blocks,
-so that no result is of less than `least_recall` on its audit; audit_recall says what was reached. Links
+so that no result is of less than `least_recall` on its audit; audit_recall says what was reached. So is a
+shard at once if audited vectors are linked with a tenth of it on average. Links
 are what has a cosine of at least the limit in double precision. A shard writes counts and one edge
 for each linked vector, not its pairs; components are joined over those edges.
 
@@ -384,8 +385,10 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
         asks, starts = np.flatnonzero(np.array(table.column("asks"))), medoids(x)
         step = max(16, min(512, 8_000_000 // max(1, len(x))))
         drawn, partners = audited(x, asks, limit, audits, min(step, 128))
-        width, recall, exact = beam, 1.0, False
-        while len(drawn):
+        # where a vector is linked with a tenth of the shard, following the lists is more work than comparing with all
+        exact = len(drawn) > 0 and 10 * float(np.mean([len(p) for p in partners])) > len(x) and len(x) > audits
+        width, recall = beam, 1.0
+        while len(drawn) and not exact:
             recall = mean_recall(len(x), partners, *range_search(x, lists, starts, drawn, limit, width))
             if recall >= least_recall:
                 break
