@@ -14,6 +14,9 @@ Only windows around anchor words are made. Anchors are words of a template that
 its shingles (over a fifth) that no text can hold 0.8 of them without an anchor; so nothing is
 lost, and texts without any anchor are dropped by a plain search before words are split.
 
+A text is cut to segments (of SEGMENT words, or the longest window's) that overlap by the longest
+window, so that a row's windows are bounded however long the text is.
+
 Words are runs of a-z and 0-9 after A-Z are lowered; a template under five words is one shingle of
 all of them. Null or empty texts, and texts without a match, give no row. Rows of null id match like
 others. Repeated ids are one document in the result, which has one row for each id and template: the
@@ -43,6 +46,12 @@ TEMPLATES = {
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 SHINGLE = 5
+#: Words whose windows are made in one row, at least.
+SEGMENT = 4096
+#: Anchors that are searched for in whole texts before these are split to words; with more, all texts are split.
+SEARCHED = 64
+#: Templates of up to so many characters in all are sent to all tasks; more are joined by a shuffle.
+BROADCAST_CHARS = 4 << 20
 
 
 def template_words(text: str) -> list[str]:
@@ -108,11 +117,10 @@ def _signature(shingles: Column, bands: Column) -> Column:
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, str], bands: dict[int, int]) -> DataFrame:
-    """(template, wide, wanted, band, value); as large as the list of templates, whatever the input."""
+    """(template, wide, wanted, bands): a row for each template."""
     rows = [{"template": k, "wide": (wide := window_size(len(template_words(v)))), "bands": bands[wide], "words": template_words(v)} for k, v in templates.items()]
     listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<template:string,wide:int,bands:int,words:array<string>>>")).alias("t")).select("t.*")
-    wanted = listed.withColumn("wanted", _shingle_array(F.col("words"), F.lit(0), F.size("words")))
-    return wanted.select("template", "wide", "wanted", F.posexplode(_signature(F.col("wanted"), F.col("bands"))).alias("band", "value"))
+    return listed.select("template", "wide", "bands", _shingle_array(F.col("words"), F.lit(0), F.size("words")).alias("wanted"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, share: float = 0.8, miss: float = 1e-8) -> DataFrame:
@@ -122,30 +130,40 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wide = sorted(bands)
     marks = sorted(anchors(templates, share))
     low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    holds = F.lit(False)
-    for mark in marks:
+    holds = F.lit(len(marks) > SEARCHED)
+    for mark in marks[: 0 if len(marks) > SEARCHED else None]:
         holds = holds | F.col("low").contains(mark)
     texts = docs.select(F.col(id_col).alias("id"), low.alias("low")).where(holds)
-    split = texts.select("id", F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    known = F.array(*[F.lit(m) for m in marks])
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(known, w), i)), lambda i: i.isNotNull())
-
-    def starts(size: int) -> Column:
+    whole = texts.select("id", F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "").alias("all"))
+    # segments: the windows that begin in one have all of their words in its row
+    length = max([SEGMENT, *wide])
+    segment = lambda g: F.struct((g * length).alias("base"), F.slice("all", g * length + 1, length + wide[-1] if wide else length).alias("words"))
+    last = F.floor((F.greatest(F.size("all"), F.lit(1)) - 1) / F.lit(length)).cast("int")
+    split = whole.select("id", F.explode(F.transform(F.sequence(F.lit(0), last), segment)).alias("s")).select("id", "s.*")
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), F.col("base") + i)), lambda i: i.isNotNull())
+
+    def windows(size: int) -> Column:
+        """(wide, first word, words) of the segment's windows of a size that hold an anchor."""
         step = max(1, size // 4)
-        # the windows that hold the anchor's place p begin at multiples of step from p - size + 1 to p; a window is one number
-        first = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - F.lit(size - 1)) / F.lit(step)).cast("int")), F.floor(p / F.lit(step)).cast("int"))
-        return F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(first(p), lambda g: g.cast("long") * step * 4096 + size))))
-
-    def window(code: Column) -> Column:
-        size, first = (code % 4096).cast("int"), F.floor(code / 4096).cast("int")
-        return F.struct(size.alias("wide"), first.alias("first"), _shingle_array(F.col("words"), first, F.least(F.size("words"), first + size)).alias("held"))
+        # the windows that hold the anchor's place p begin at multiples of step from p - size + 1 to p
+        least, most = F.col("base"), F.col("base") + F.lit(length - 1)
+        low = lambda p: F.ceil(F.greatest(p - F.lit(size - 1), least) / F.lit(step)).cast("int")
+        high = lambda p: F.floor(F.least(p, most) / F.lit(step)).cast("int")
+        some = lambda p: F.when(low(p) <= high(p), F.sequence(low(p), high(p))).otherwise(F.array().cast("array<int>"))
+        firsts = F.array_distinct(F.flatten(F.transform("at", some)))
+        return F.transform(firsts, lambda g: F.struct(F.lit(size).alias("wide"), (g * step).alias("first"), F.slice("words", g * step - F.col("base") + 1, size).alias("own")))
 
     placed = split.withColumn("at", at).where("size(at) > 0")
-    shingled = placed.select("id", F.explode(F.transform(F.concat(*map(starts, wide)), window)).alias("w")).select("id", "w.*")
+    cut = placed.select("id", F.explode(F.concat(*map(windows, wide))).alias("w")).select("id", "w.*")
+    shingled = cut.select("id", "wide", "first", _shingle_array(F.col("own"), F.lit(0), F.size("own")).alias("held"))
     n_bands = F.element_at(F.create_map(*[F.lit(x) for pair in bands.items() for x in pair]), F.col("wide"))
     signed = shingled.select("id", "wide", "first", "held", F.posexplode(_signature(F.col("held"), n_bands)).alias("band", "value"))
-    # broadcast: as many rows as it has bands for each template of the list
-    hits = signed.join(F.broadcast(_template_rows(docs.sparkSession, templates, bands)), ["wide", "band", "value"])
+    listed = _template_rows(docs.sparkSession, templates, bands)
+    keys = listed.select("template", "wide", F.posexplode(_signature(F.col("wanted"), F.col("bands"))).alias("band", "value"))
+    wanted = listed.select("template", "wanted")
+    if sum(map(len, templates.values())) <= BROADCAST_CHARS:
+        keys, wanted = F.broadcast(keys), F.broadcast(wanted)
+    hits = signed.join(keys, ["wide", "band", "value"]).join(wanted, "template")
     contained = (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment")
     found = hits.select("id", "template", "first", contained).where(F.col("containment") >= share)
     best = found.groupBy("id", "template").agg(F.max(F.struct("containment", (-F.col("first")).alias("back"))).alias("b"))

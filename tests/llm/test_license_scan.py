@@ -78,3 +78,25 @@ def test_bands_follow_the_least_similarity():
         words = L.template_words(text)
         j = L.least_jaccard(len(words), len(set(L._shingles(words))))
         assert (1 - j) ** bands[L.window_size(len(words))] <= 1e-8
+
+
+def test_long_templates(spark):
+    rng = random.Random(8)
+    templates = {str(n): " ".join(f"t{n}x{i}" if i % 7 == 0 else f"w{rng.randrange(400)}" for i in range(n)) for n in (2000, 2600, 2900, 4000, 6000)}
+    docs = [(int(n), prose(rng, 777, 300) + " " + t + " " + prose(rng, 50, 300)) for n, t in templates.items()] + [(1, prose(rng, 9000, 400))]
+    got = L.scan_licenses(spark.createDataFrame(docs, DOCS), templates=templates).collect()
+    assert {(str(r.doc_id), r.template) for r in got} == {(n, n) for n in templates}
+    for r in got:
+        assert (r.containment, r.first_word) == best(L.template_words(dict(docs)[r.doc_id]), templates[r.template])
+
+
+def test_long_texts_are_cut_to_segments(spark, monkeypatch):
+    monkeypatch.setattr(L, "SEGMENT", 8)
+    test_against_all_windows(spark)
+
+
+def test_a_hundred_thousand_words(spark):
+    notice = L.TEMPLATES["BSD clause"]
+    text = "a license of some words in a row " * 12_000
+    got = L.scan_licenses(spark.createDataFrame([(1, text + notice + " " + text[:1000]), (2, text)], DOCS)).where("template = 'BSD clause'").collect()
+    assert [(r.doc_id, r.containment) for r in got] == [(1, 1.0)]
