@@ -133,7 +133,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holds = F.lit(len(marks) > SEARCHED)
     for mark in marks[: 0 if len(marks) > SEARCHED else None]:
         holds = holds | F.col("low").contains(mark)
-    texts = docs.select(F.col(id_col).alias("id"), low.alias("low")).where(holds)
+    # a generator, so that the optimizer doesn't lower a text again for each anchor
+    texts = docs.select(F.col(id_col).alias("id"), F.explode(F.array(low)).alias("low")).where(holds)
     whole = texts.select("id", F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "").alias("all"))
     # segments: the windows that begin in one have all of their words in its row
     length = max([SEGMENT, *wide])
