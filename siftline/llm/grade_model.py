@@ -3,8 +3,10 @@
 Features. Runs of letters and digits, their first bytes, and runs of other signs are hashed into `buckets`; a text's
 value in a bucket is 1 + log of the bucket's count. Two shares, each cut to tenths, are features as
 well: of word pairs that repeat an earlier pair of the text, and of sign runs to words. Whole texts
-are read. The fit keeps the `kept` buckets that part the extreme grades best among those that
-enough rated texts have, so that rare words add no noise.
+are read. All buckets take part in the fit. A bucket has a weight other than zero if its presence in
+texts of the top grade and in the others differs by more than the universal threshold, sqrt(2 ln
+buckets) standard errors, which is about the largest difference that as many buckets of pure noise
+show; there is no bound on how many do.
 
 Model. One weight vector w is shared by all grades, and thresholds t_1 < t_2 < ... give
 P(grade >= j) = sigmoid(w x - t_j). Gaps between thresholds are kept positive by fitting their
@@ -14,7 +16,8 @@ one pass over all rows without a shuffle.
 
 Labels that are null or not in docs are left out; without any two grades among them the model
 gives every text the same probability and keeps it. Null texts are empty. Repeated label rows
-count as often as they occur, and a repeated document is scored as often as it occurs.
+count as often as they occur; of a document id with several texts the least text is rated, and each
+row is scored.
 """
 
 from __future__ import annotations
@@ -79,16 +82,15 @@ def _bucket_totals(rated: DataFrame, buckets: int, top: int) -> DataFrame:
     return rated.select("grade", "text").mapInArrow(run, "bucket long, in_top long, in_low long").groupBy("bucket").agg(F.sum("in_top").alias("in_top"), F.sum("in_low").alias("in_low"))
 
 
-def parting_buckets(rated: DataFrame, buckets: int, top: int, kept: int, least_apart: float, least_rows: int) -> np.ndarray:
-    """The buckets whose presence differs most between the top grade and the others, kept at most, sorted."""
+def parting_buckets(rated: DataFrame, buckets: int, top: int) -> np.ndarray:
+    """The buckets whose presence differs between the top grade and the others by more than the universal threshold, sorted."""
     sizes = rated.agg(F.count(F.when(F.col("grade") == top, 1)).alias("t"), F.count(F.when(F.col("grade") != top, 1)).alias("l")).first()
     n_top, n_low = max(sizes.t, 1), max(sizes.l, 1)
     both = (F.col("in_top") + F.col("in_low")) / float(sizes.t + sizes.l or 1)
     spread = F.sqrt(both * (1 - both) * (1 / n_top + 1 / n_low) + F.lit(1e-9))
     apart = F.abs(F.col("in_top") / n_top - F.col("in_low") / n_low) / spread
-    totals = _bucket_totals(rated, buckets, top).where(F.col("in_top") + F.col("in_low") >= least_rows)
-    ranked = totals.select("bucket", apart.alias("apart")).where(F.col("apart") > least_apart).orderBy(F.desc("apart"), "bucket").limit(kept)
-    return np.array(sorted(r.bucket for r in ranked.collect()), dtype=np.int64)
+    far = _bucket_totals(rated, buckets, top).where(apart > float(np.sqrt(2 * np.log(buckets)))).select("bucket")
+    return np.array(sorted(r.bucket for r in far.collect()), dtype=np.int64)  # buckets numbers at most, whatever the input
 
 
 def _packed(rated: DataFrame, buckets: int, chosen: np.ndarray) -> DataFrame:
@@ -114,6 +116,11 @@ def _only(chosen: np.ndarray, row: np.ndarray, slot: np.ndarray, value: np.ndarr
     return row[mine], at[mine], value[mine]
 
 
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """The thresholds: the first, and the others by the logarithms of the gaps between them."""
+    return np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
+
+
 class OrdinalModel:
     """Shared weights and ordered thresholds, fitted by Adam on the cumulative log-likelihood."""
 
@@ -135,26 +142,30 @@ class OrdinalModel:
         weight = (1 / np.sqrt(sure))[grade]
         weight /= weight.mean()
         for step in range(1, self.steps + 1):
-            t = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
-            z = np.bincount(row, value * w[slot], n)
-            p = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -30, 30)))  # P(grade > j)
-            above = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
-            likely = np.maximum(above[np.arange(n), grade] - above[np.arange(n), grade + 1], 1e-9)
-            slope = above * (1 - above)
-            dz = -(slope[np.arange(n), grade] - slope[np.arange(n), grade + 1]) / likely * weight / n
-            dt = np.zeros(k)
-            for j in range(k):
-                dt[j] = (weight / n * (slope[:, j + 1] * (grade == j + 1) - slope[:, j + 1] * (grade == j)) / likely).sum()
-            gw = np.bincount(slot, value * dz[row], size) + self.ridge * w
-            gt = np.concatenate([[dt.sum()], [dt[j:].sum() * np.exp(theta[j]) for j in range(1, k)]])
+            _, gw, gt = self.loss(w, theta, row, slot, value, grade, weight)
             for g, x, m, v in ((gw, w, moments[0], moments[1]), (gt, theta, moments[2], moments[3])):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 x -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        self.weights = w
-        self.thresholds = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
+        self.weights, self.thresholds = w, ordered(theta)
         return self
 
+    def loss(self, w: np.ndarray, theta: np.ndarray, row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted mean of -log P(grade) with the ridge, and its gradients by w and theta (the first threshold, the logarithms of the gaps)."""
+        n, k = len(grade), len(theta)
+        z = np.bincount(row, value * w[slot], n)
+        p = 1 / (1 + np.exp(np.clip(ordered(theta)[None, :] - z[:, None], -30, 30)))  # P(grade > j)
+        above = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
+        likely = np.maximum(above[np.arange(n), grade] - above[np.arange(n), grade + 1], 1e-9)
+        slope = above * (1 - above)
+        dz = -(slope[np.arange(n), grade] - slope[np.arange(n), grade + 1]) / likely * weight / n
+        dt = np.zeros(k)
+        for j in range(k):
+            dt[j] = (weight / n * (slope[:, j + 1] * (grade == j + 1) - slope[:, j + 1] * (grade == j)) / likely).sum()
+        gw = np.bincount(slot, value * dz[row], len(w)) + self.ridge * w
+        gt = np.concatenate([[dt.sum()], [dt[j:].sum() * np.exp(theta[j]) for j in range(1, k)]])
+        return float(-(weight * np.log(likely)).mean() + self.ridge / 2 * (w * w).sum()), gw, gt
+
     def tails(self, row: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """P(grade >= 1), ..., P(grade >= top) for each of n rows; slots are places in chosen."""
         z = np.bincount(row, value * self.weights[slot], n) if len(row) else np.zeros(n)
@@ -176,17 +187,19 @@ class OrdinalModel:
             self.least = float((tail[order[best]] + tail[order[min(best + 1, len(order) - 1)]]) / 2)
 
 
-def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 12_000, keep_share: float = 0.98, kept: int = 300, least_apart: float = 4.5, least_rows: int = 6) -> OrdinalModel:
+def fit_grades(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, buckets: int = 1 << 18, max_labelled: int = 12_000, keep_share: float = 0.98) -> OrdinalModel:
     """Fit on the rows of grades (id, grade from 0) whose id is in docs."""
     scratch = Scratch(docs.sparkSession, "grades")
     sample = grades.where("id is not null and grade is not null").orderBy(F.xxhash64("id"), "id", "grade").limit(max_labelled)
     sample = sample.withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0)
-    rated = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # max_labelled rows at most
-    rated = scratch.save(rated, "rated")
-    chosen = parting_buckets(rated.where("not held"), buckets, n_grades - 1, kept, least_apart, least_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sample = scratch.save(sample, "sample")  # max_labelled rows at most
+    once = texts.join(F.broadcast(sample.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rated = scratch.save(once.join(F.broadcast(sample), "id"), "rated")
+    chosen = parting_buckets(rated.where("not held"), buckets, n_grades - 1)
     model = OrdinalModel(chosen, buckets, n_grades)
-    rows = sorted(_packed(rated, buckets, chosen).collect(), key=lambda r: (r.id, r.grade, bytes(r.slots)))  # at most kept numbers for each labelled text
-    scratch.drop("rated")
+    rows = sorted(_packed(rated, buckets, chosen).collect(), key=lambda r: (r.id, r.grade, bytes(r.slots)))  # of max_labelled rows at most, the buckets that part grades
+    scratch.drop("rated", "sample")
     if not rows:
         return model
     slots = [np.frombuffer(r.slots, "<u4").astype(np.int64) for r in rows]

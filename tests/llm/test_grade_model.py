@@ -57,3 +57,45 @@ def test_without_labels_all_stay(spark):
 def test_grades(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
     assert [r.grade for r in grade_model.graded(labels, F.col("quality"), F.col("toxic")).orderBy("id").collect()] == [2, 1, 0, None]
+
+
+def test_loss_and_gradients_are_the_plain_ones():
+    rng = np.random.default_rng(3)
+    n, size, grades = 12, 5, 4
+    dense = rng.normal(size=(n, size)) * (rng.random((n, size)) < 0.6)
+    row, slot = np.nonzero(dense)
+    grade, weight = rng.integers(0, grades, n), rng.random(n) + 0.5
+    model = grade_model.OrdinalModel(np.arange(size), grades=grades, ridge=0.01)
+    w, theta = rng.normal(size=size), rng.normal(size=grades - 1)
+
+    def plain(w, theta):
+        cuts = [theta[0]]
+        for gap in theta[1:]:
+            cuts.append(cuts[-1] + np.exp(gap))
+        above = lambda i, j: 1.0 if j == 0 else 0.0 if j == grades else 1 / (1 + np.exp(cuts[j - 1] - dense[i] @ w))
+        return sum(-weight[i] * np.log(above(i, grade[i]) - above(i, grade[i] + 1)) for i in range(n)) / n + 0.005 * w @ w
+
+    loss, gw, gt = model.loss(w, theta, row, slot, dense[row, slot], grade, weight)
+    assert abs(loss - plain(w, theta)) < 1e-9
+    step = 1e-6
+    for g, x, other in ((gw, w, lambda x: plain(x, theta)), (gt, theta, lambda x: plain(w, x))):
+        for j in range(len(x)):
+            e = np.zeros(len(x))
+            e[j] = step
+            assert abs(g[j] - (other(x + e) - other(x - e)) / (2 * step)) < 1e-6
+
+
+def test_the_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(4)
+    n, size = 300, 6
+    dense = rng.normal(size=(n, size))
+    grade = np.clip(np.digitize(dense @ np.array([2, -1, 0, 0.5, 0, 0]) + rng.logistic(size=n), [-1.0, 1.0]), 0, 2)
+    row, slot = np.nonzero(dense)
+    model = grade_model.OrdinalModel(np.arange(size)).fit(row, slot, dense[row, slot], grade)
+    weight = (1 / np.sqrt([np.mean(grade == j) for j in range(3)]))[grade]
+    weight /= weight.mean()
+    at = lambda w, t: model.loss(w, np.array([t[0], np.log(t[1] - t[0])]), row, slot, dense[row, slot], grade, weight)
+    best, gw, gt = at(model.weights, model.thresholds)
+    assert max(np.abs(gw).max(), np.abs(gt).max()) < 1e-3
+    for _ in range(50):  # the loss is convex in the weights
+        assert at(model.weights + rng.normal(size=size) * 0.05, model.thresholds)[0] > best
