@@ -26,7 +26,7 @@ from ..sources.lines import ORDER, read_lines
 from ..sources.sinks import write_parts, write_single
 from .manifest import MANIFEST, Batch, Manifest, options_hash, validate_batches
 from .stats import JobStats, Phase, progress_percentage
-from .workspace import Workspace
+from .workspace import Workspace, shared_root
 
 #: The folder for staged rows where no other is set.
 STAGING = "external_sort_temp"
@@ -91,12 +91,9 @@ class DedupJob:
         given = self.config.temp_directory
         if given:
             return workspace.qualified(given)
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            return f"{shared.rstrip('/')}/{STAGING}"
-        if self.spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set temp_directory or spark.checkpoint.dir to a folder that the driver and all executors share")
-        return f"file://{tempfile.gettempdir()}/{STAGING}"
+        if self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.master.split("[")[0] != "local":
+            return f"{shared_root(self.spark)}/{STAGING}"
+        return f"file://{tempfile.gettempdir()}/{STAGING}"  # of one machine, the same for a job that goes on later
 
     def run(self, paths: list[str], output: str, resume: bool = False) -> JobStats:
         began = time.time()

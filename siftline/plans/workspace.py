@@ -8,18 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of each local application that has spark.checkpoint.dir unset.
+_own: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir with its file system's scheme; a temporary one only where that is unset and Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        name = spark.sparkContext.applicationId
+        if name not in _own:
+            _own[name] = "file://" + tempfile.mkdtemp(prefix="siftline-")
+        root = _own[name]
+    if "://" in root:
+        return root.rstrip("/")
+    # on Hadoop's default file system; Python's readers need its scheme, with a host part
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    return whole if "://" in whole else whole.replace(":/", ":///", 1)
+
+
 class Workspace:
     """Tables below spark.checkpoint.dir; a temporary folder only where that is unset and Spark is local."""
 
     def __init__(self, spark: SparkSession, label: str = "job", base: str | None = None):
-        root = base or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.split("[")[0] == "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-            spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
-        self.base = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}" if base is None else root.rstrip("/")
+        self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}" if base is None else base.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

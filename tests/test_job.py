@@ -175,6 +175,19 @@ def test_staging_is_shared(spark, tmp_path):
     assert not Path(shared.removeprefix("file://"), "external_sort_temp").exists()
 
 
+def test_the_shared_folder(spark, tmp_path, monkeypatch):
+    from siftline.plans.workspace import shared_root
+
+    given = {}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: given.get(name, default))
+    own = shared_root(spark)
+    assert own.startswith("file://") and shared_root(spark) == own  # unset: one for the application
+    given["spark.checkpoint.dir"] = str(tmp_path)
+    assert shared_root(spark) == f"file://{tmp_path}"
+    given["spark.checkpoint.dir"] = "store://a/b/"
+    assert shared_root(spark) == "store://a/b"
+
+
 def test_staged_rows_are_counted(spark, tmp_path):
     from siftline.plans.manifest import Batch
 
