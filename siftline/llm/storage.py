@@ -3,25 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from ..plans.workspace import shared_root
 
 
 #: Rows of up to a few numbers that may be broadcast: some tens of MB in a hash table.

@@ -2,8 +2,9 @@
 
 Writing. Payload digests and lengths come from the scan; payloads that occur more than once (of at
 least `min_bytes`) get one response, that of the largest id, and the others are revisits of it. Only
-the table of repeated digests is joined to the pages, written out first so that Spark knows its
-size and broadcasts it only if it is small. Each task writes archives of about `archive_bytes`, a
+the table of repeated digests is joined to the pages; it is written first, and broadcast if it has
+BROADCAST_ROWS rows at most. Beyond that pages are dealt by digest, where adaptive execution splits
+a digest that very many share. Each task writes archives of about `archive_bytes`, a
 gzip member for each record, streaming slices of the payload. A file's name is new in each attempt
 and counts only through the manifest row of the attempt that ended, so lost tasks leave no records.
 
@@ -12,8 +13,9 @@ with at most `chunk_bytes` each, and every row carries the payload's bytes and S
 end, so nothing holds a whole record. A revisit gives one empty chunk with its headers' digest and
 length.
 
-Null payloads are empty ones. A null id gives the record id of the empty id and is never referred
-to; rows that share the largest id are all responses. Line ends in urls are escaped in headers.
+Chunk rows name their archive and the record's number in it, so that records stay apart whatever
+their ids are. Null payloads are empty ones. A null id gives a record id of its own and is never
+referred to; rows that share the largest id are all responses. Line ends in urls are escaped in headers.
 """
 
 from __future__ import annotations
@@ -28,20 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_side
 
-CHUNK_SCHEMA = "record_id string, chunk_no int, id long, url string, record_type string, refers_to long, bytes_so_far long, digest_so_far string, last boolean, payload binary"
+CHUNK_SCHEMA = "archive string, record_no long, record_id string, chunk_no int, id long, url string, record_type string, refers_to long, bytes_so_far long, digest_so_far string, last boolean, payload binary"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def _urn(number) -> str:
-    return f"<urn:record:{'' if number is None else number}>"
+    return f"<urn:record:{uuid.uuid4() if number is None else number}>"
 
 
 def _number(urn: str) -> int | None:
     text = urn.removeprefix("<urn:record:").removesuffix(">")
-    return int(text) if text else None
+    return int(text) if text.lstrip("-").isdigit() else None
 
 
 def record_head(number, url: str | None, payload_bytes: int, digest: str, refers_to, date: str) -> bytes:
@@ -72,7 +74,7 @@ def write_archives(pages: DataFrame, folder: str, scratch: Scratch, id_col: str,
     again = base.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     again = scratch.save(again.select("sha1", "first_id"), "repeated")
     refers = F.when((F.col("size") >= min_bytes) & ~F.col("first_id").eqNullSafe(F.col("id")), F.col("first_id"))
-    planned = base.join(again, "sha1", "left").select("id", "url", "payload", "sha1", "size", refers.alias("refers_to"))
+    planned = base.join(small_side(again), "sha1", "left").select("id", "url", "payload", "sha1", "size", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -159,9 +161,10 @@ class Inflated:
 
 
 def read_records(raw, chunk_bytes: int) -> Iterator[tuple]:
-    """The chunk rows (CHUNK_SCHEMA) of one archive."""
-    source = Inflated(raw)
+    """The chunk rows (CHUNK_SCHEMA from record_no on) of one archive."""
+    source, place = Inflated(raw), -1
     while True:
+        place += 1
         opening = source.line()
         while opening == b"":
             opening = source.line()
@@ -181,7 +184,7 @@ def read_records(raw, chunk_bytes: int) -> Iterator[tuple]:
         common = (_number(urn), head.get("warc-target-uri"), kind)
         declared = head["warc-payload-digest"].removeprefix("sha1:")
         if kind == "revisit":
-            yield urn, 0, *common, _number(head["warc-refers-to"]), int(head["warc-payload-length"]), declared, True, b""
+            yield place, urn, 0, *common, _number(head["warc-refers-to"]), int(head["warc-payload-length"]), declared, True, b""
             continue
         sha, total, number = hashlib.sha1(), 0, 0
         while True:
@@ -200,15 +203,15 @@ def read_records(raw, chunk_bytes: int) -> Iterator[tuple]:
             digest = base64.b32encode(sha.digest()).decode()
             if not left and digest != declared:
                 raise ValueError(f"{urn}: the payload does not have its declared digest")
-            yield urn, number, *common, None, total, digest, not left, chunk
+            yield place, urn, number, *common, None, total, digest, not left, chunk
             number += 1
             if not left:
                 break
 
 
-def read_archives(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_payload: bool = True, flush_bytes: int = 8 << 20) -> DataFrame:
-    """The chunk rows of all archives in manifest (column path); without payload bytes if they aren't wanted."""
-    fields = [("record_id", pa.string()), ("chunk_no", pa.int32()), ("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_()), ("payload", pa.binary())]
+def read_archives(manifest: DataFrame, chunk_bytes: int = 1 << 20, flush_bytes: int = 4 << 20) -> DataFrame:
+    """The chunk rows of all archives in manifest (column path)."""
+    fields = [("archive", pa.string()), ("record_no", pa.int64()), ("record_id", pa.string()), ("chunk_no", pa.int32()), ("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_()), ("payload", pa.binary())]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
@@ -222,8 +225,8 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_payload:
                 rows, size = [], 0
                 with store.open_input_stream(name, compression=None) as raw:
                     for row in read_records(raw, chunk_bytes):
-                        rows.append(row if with_payload else (*row[:-1], None))
-                        size += len(row[-1]) if with_payload else 0
+                        rows.append((path, *row))
+                        size += len(row[-1])
                         if size >= flush_bytes or len(rows) >= 5000:
                             yield batch_of(rows)
                             rows, size = [], 0
@@ -235,8 +238,14 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = 1 << 20, with_payload:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write pages to archives in the shared folder, read them back: (id_col, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Write pages to archives in the shared folder, read them back: (id_col, payload_bytes, payload_digest, record_type, refers_to).
+
+    The bytes of responses are counted from their chunk rows; revisits have what their headers say.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = write_archives(pages, scratch.path("archives"), scratch, id_col, url_col, payload_col, min_bytes)
-    chunks = read_archives(manifest, with_payload=False).where("last")
-    return chunks.select(F.col("id").alias(id_col), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+    chunks = read_archives(manifest).select("archive", "record_no", "id", "record_type", "refers_to", "bytes_so_far", "digest_so_far", "last", F.octet_length("payload").cast("long").alias("held"))
+    final = lambda c: F.max(F.when(F.col("last"), F.col(c)))
+    size = F.when(F.col("record_type") == "response", F.sum("held")).otherwise(final("bytes_so_far")).alias("payload_bytes")
+    records = chunks.groupBy("archive", "record_no", "id", "record_type", "refers_to").agg(size, final("digest_so_far").alias("payload_digest"))
+    return records.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -110,3 +110,29 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert url_trust.judge_urls(none, URL_RULES).count() == 0
     assert url_trust.judge_urls(spark.createDataFrame([(None, None, None)], SCHEMA), {}).first().verdict == "allow"
+
+
+def test_the_query_over_pages_with_links(spark, tmp_path):
+    """The registered query against its SQL, on pages with links between hosts, hubs, cycles and hosts without pages."""
+    duckdb = pytest.importorskip("duckdb")
+    from siftline.llm import queries
+
+    rng = random.Random(21)
+    hosts = [f"h{i}.org" for i in range(40)] + ["shop.com", "a.example.com", "x.net", "hub.org", "www.example.com"]
+    paths = ["/", "/en/p", "/es/q", "/fr/r", "/fr/s", ""]
+    rows = []
+    for page in range(600):
+        host = rng.choice(hosts + ["hub.org"] * 10)
+        links = [rng.choice(["hub.org", "x.net", "shop.com", "gone.info", *hosts]) for _ in range(rng.randrange(6))]
+        if host == "hub.org":
+            links = [rng.choice(hosts) for _ in range(12)]
+        html = " ".join(rng.choice([f'<a href="https://{x}/z">', f"<A HREF='//{x.upper()}?q'>", f"<a href=http://{x}>", '<a href="/local">']) for x in links)
+        rows.append((page, rng.choice([f"https://{host}{rng.choice(paths)}"] * 9 + [None, "no scheme"]), rng.choice([html] * 9 + [None])))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries.op1_url_trust_propagation(spark, f"file://{tmp_path}").collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(queries._url_trust_sql(rounds=60)).fetchall())
+    assert [r[:4] for r in got] == [r[:4] for r in want] and got == want
+    free = [r for r in got if r[3] is None and r[1]]
+    assert 0.1 < sum(r[4] == "block" for r in free) / len(free) < 0.9  # the links decide

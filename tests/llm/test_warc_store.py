@@ -74,3 +74,25 @@ def test_archives_are_checked():
 
 def test_empty(spark):
     assert warc_store.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_of_equal_or_null_ids_stay_apart(spark, tmp_path):
+    rows = [(None, "u", "first"), (None, "u", "second"), (7, "u", "third"), (7, "u", "fourth one"), (-3, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch = warc_store.Scratch(spark, "warc-test")
+    chunks = warc_store.read_archives(warc_store.write_archives(pages, scratch.path("a"), scratch, "page_id", "url", "html"), chunk_bytes=3).collect()
+    whole = {}
+    for r in sorted(chunks, key=lambda r: r.chunk_no):
+        whole.setdefault((r.archive, r.record_no, r.id), []).append(bytes(r.payload))
+    assert sorted((b"".join(v).decode(), k[2]) for k, v in whole.items()) == sorted((t, i) for i, _, t in rows)
+    back = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in warc_store.round_trip(pages).collect())
+    assert back == sorted((i is None, i or 0, len(t)) for i, _, t in rows)
+
+
+def test_a_folder_without_scheme(spark, tmp_path, monkeypatch):
+    from siftline.llm import storage
+
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, *more: str(tmp_path) if name == "spark.checkpoint.dir" else get(self, name, *more))
+    assert storage.shared_root(spark) == f"file://{tmp_path}"
+    assert warc_store.round_trip(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")).first().payload_bytes == 3
