@@ -74,7 +74,7 @@ def op1_url_trust_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_lm import stupid_backoff
 
-    scored = stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
+    scored = stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "n_words", "n_alone", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -194,14 +194,19 @@ ORACLE_SQL: dict[str, str] = {
  from d left join spots using (doc_id) left join items using (doc_id) left join nn using (doc_id)""",
     "op5_stupid_backoff": f"""with d as ({_words("documents", "doc_id", _SPACED)}),
  pos as (select doc_id, unnest(generate_series(1, len(ws))) as p, unnest(ws) as w from d),
- big as (select doc_id, p, w, lag(w) over (partition by doc_id order by p) as v from pos),
+ tri as (select doc_id, p, w, lag(w) over (partition by doc_id order by p) as v, lag(w, 2) over (partition by doc_id order by p) as u from pos),
  u1 as (select w, count(*) as c from pos group by w), ud as (select doc_id, w, count(*) as c from pos group by all),
- b1 as (select v, w, count(*) as c from big where v is not null group by all), bd as (select doc_id, v, w, count(*) as c from big where v is not null group by all),
+ b1 as (select v, w, count(*) as c from tri where v is not null group by all), bd as (select doc_id, v, w, count(*) as c from tri where v is not null group by all),
+ t1 as (select u, v, w, count(*) as c from tri where u is not null group by all), td as (select doc_id, u, v, w, count(*) as c from tri where u is not null group by all),
  total as (select count(*) as n from pos), size as (select doc_id, count(*) as n from pos group by doc_id),
- x as (select big.doc_id, big.p, u1.c - ud.c as cw, coalesce(b1.c - bd.c, 0) as cb, coalesce(uv.c - udv.c, 0) as cv, big.v is not null as has, total.n - size.n as rest
-  from big join u1 on u1.w = big.w join ud on ud.doc_id = big.doc_id and ud.w = big.w join total on true join size on size.doc_id = big.doc_id
-  left join b1 on b1.v = big.v and b1.w = big.w left join bd on bd.doc_id = big.doc_id and bd.v = big.v and bd.w = big.w left join u1 uv on uv.w = big.v left join ud udv on udv.doc_id = big.doc_id and udv.w = big.v),
- s as (select doc_id, case when has and cb > 0 then ln(cb::double / cv) else ln((cw + 1)::double / (rest + 1)) + case when has then ln(0.4::double) else 0 end end as score, not (has and cb > 0) as alone from x)
+ x as (select t.doc_id, t.p, t.v is not null as has2, t.u is not null as has3, u1.c - ud.c as cw, coalesce(b1.c - bd.c, 0) as cb, coalesce(uv.c - udv.c, 0) as cv, coalesce(t1.c - td.c, 0) as ct, coalesce(bv.c - bdv.c, 0) as cuv, total.n - size.n as rest
+  from tri t join u1 on u1.w = t.w join ud on ud.doc_id = t.doc_id and ud.w = t.w join total on true join size on size.doc_id = t.doc_id
+  left join b1 on b1.v = t.v and b1.w = t.w left join bd on bd.doc_id = t.doc_id and bd.v = t.v and bd.w = t.w left join u1 uv on uv.w = t.v left join ud udv on udv.doc_id = t.doc_id and udv.w = t.v
+  left join t1 on t1.u = t.u and t1.v = t.v and t1.w = t.w left join td on td.doc_id = t.doc_id and td.u = t.u and td.v = t.v and td.w = t.w
+  left join b1 bv on bv.v = t.u and bv.w = t.v left join bd bdv on bdv.doc_id = t.doc_id and bdv.v = t.u and bdv.w = t.v),
+ s as (select doc_id, case when has3 and ct > 0 then ln(ct::double / cuv) else case when has3 then ln(0.4::double) else 0 end
+   + case when has2 and cb > 0 then ln(cb::double / cv) else ln((cw + 1)::double / (rest + 1)) + case when has2 then ln(0.4::double) else 0 end end end as score,
+   not (has3 and ct > 0 or has2 and cb > 0) as alone from x)
  select d.doc_id, len(d.ws) as n_words, coalesce(a.n_alone, 0) as n_alone, round(a.m, 6) as mean_log_score from d left join (select doc_id, count(*) filter (alone) as n_alone, avg(score) as m from s group by doc_id) a on a.doc_id = d.doc_id""",
     "op9_license_scan": _license_sql(),
     "op10_chunked_warc": """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
