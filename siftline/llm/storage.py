@@ -27,6 +27,9 @@ SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check
 #: Reads of many ranges at a time leave a direct buffer, as large as its range, with each of the reading threads.
 PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
+#: Spark's setting by which a query's shuffle files go when it has ended. Nothing reads them once the table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Tables of one run below the shared folder; all are deleted when the driver's Python ends."""
@@ -41,8 +44,13 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return a DataFrame that reads the written table."""
-        df.write.mode("overwrite").options(**SMALL_GROUPS).parquet(self.path(name))
+        """Write df and return a DataFrame that reads the written table; the shuffles that made it are deleted."""
+        conf, old = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").options(**SMALL_GROUPS).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, old)
         return self.spark.read.schema(df.schema).options(**PLAIN_READS).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
