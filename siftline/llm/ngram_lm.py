@@ -2,8 +2,8 @@
 
 The corpus is cut to blocks of documents, which are stored as word numbers with the block's own
 vocabulary. Each block's distinct n-grams (of 1 to `order` words) are exploded to rows by hash
-partition, packed as sorted hashes with their counts (the partition's number and 48 more bits: at
-least 52, and more the larger the corpus; stored as steps from one hash to the next). Grouped by partition these make the n-gram count table;
+partition, packed as sorted hashes with their counts (the partition's number and 44 more bits: at
+least 48, and more the larger the corpus; stored as steps from one hash to the next). Grouped by partition these make the n-gram count table;
 joined back to it, every block gets the corpus count of each of its n-grams. A last join brings a
 block's counts to its words, where they are summed per document. An n-gram that is in a third of all
 documents is one entry for each block, so no partition gets more than the number of blocks times the
@@ -54,8 +54,8 @@ NOISE = 4
 
 
 def _short(grams: np.ndarray, bits: int) -> bytes:
-    """Sorted hashes that agree in the first `bits`: the 48 bits after these, as steps from one to the next."""
-    steps = np.diff((grams << np.uint64(bits)) >> np.uint64(16), prepend=np.uint64(0))
+    """Sorted hashes that agree in the first `bits`: the 44 bits after these, as steps from one to the next."""
+    steps = np.diff((grams << np.uint64(bits)) >> np.uint64(20), prepend=np.uint64(0))
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
     return len(grams).to_bytes(4, "little") + np.ascontiguousarray(planes[:NOISE]).tobytes() + zlib.compress(np.ascontiguousarray(planes[NOISE:6]).tobytes(), 1)
 
@@ -87,9 +87,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, separators: np.ndarray,
         first_number = TaskContext.get().partitionId() << 32
         for number, (block, data, offsets) in enumerate(textkit.row_blocks(batches, limit=block_bytes), first_number):
             hashes, first = textkit.words(data, offsets, separators)
-            vocabulary, tokens = np.unique(hashes, return_inverse=True)
+            vocabulary, tokens, uses = np.unique(hashes, return_inverse=True, return_counts=True)
+            # the commonest words have the small numbers; both parts are sorted, so that steps between hashes are small
+            common = np.argpartition(-uses, 255)[:256] if len(uses) > 256 else np.arange(len(uses))
+            rare = np.ones(len(uses), dtype=bool)
+            rare[common] = False
+            order = np.concatenate([np.sort(common), np.flatnonzero(rare)])
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.arange(len(order))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([_folded(tokens)], pa.binary())],
+                [pa.array([number]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([_folded(np.diff(vocabulary[order], prepend=np.uint64(0)))], pa.binary()), pa.array([_folded(number[tokens])], pa.binary())],
                 names=["block", "doc_ids", "first", "vocabulary", "tokens"],
             )
 
@@ -97,7 +104,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, separators: np.ndarray,
 
 
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary = np.frombuffer(batch.column("vocabulary")[i].as_buffer(), np.uint64)
+    vocabulary = np.cumsum(_unfolded(batch.column("vocabulary")[i].as_buffer()), dtype=np.uint64)
     tokens = _unfolded(batch.column("tokens")[i].as_buffer())
     return vocabulary[tokens] if len(tokens) else vocabulary[:0], np.array(batch.column("first")[i].values, dtype=np.int64)
 
