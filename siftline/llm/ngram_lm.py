@@ -93,10 +93,10 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, separators: np.ndarray,
             rare = np.ones(len(uses), dtype=bool)
             rare[common] = False
             order = np.concatenate([np.sort(common), np.flatnonzero(rare)])
-            number = np.empty(len(order), dtype=np.int64)
-            number[order] = np.arange(len(order))
+            renamed = np.empty(len(order), dtype=np.int64)
+            renamed[order] = np.arange(len(order))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([_folded(np.diff(vocabulary[order], prepend=np.uint64(0)))], pa.binary()), pa.array([_folded(number[tokens])], pa.binary())],
+                [pa.array([number]), pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([_folded(np.diff(vocabulary[order], prepend=np.uint64(0)))], pa.binary()), pa.array([_folded(renamed[tokens])], pa.binary())],
                 names=["block", "doc_ids", "first", "vocabulary", "tokens"],
             )
 
