@@ -13,8 +13,10 @@ the window, is intersected with the next lists in turn. What is left are the pla
 phrases. With slop > 0 the same walk also finds proximity matches: every word at most slop places
 from where the phrase would have it.
 
-Benchmark words are sent to the executors in blocks of at most `block_words`, whatever the
-benchmark's size; hits of several blocks are joined per document. Null or wordless texts have no
+Benchmark words are sent to the executors in blocks of about `block_words`, whatever the
+benchmark's size; hits of several blocks are joined per document. Items longer than an eighth of a
+block are cut to pieces that share window - 1 words, which have the same windows, so no item makes a
+block large. Null or wordless texts have no
 words, are never hit and give no window; items of null id are left out, as they can't be named.
 Repeated item ids count once, and a document id that occurs twice gives two rows.
 """
@@ -63,15 +65,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX_SCHEMA)
 
 
-def _item_words(benchmark: DataFrame, id_col: str, text_col: str, separators: np.ndarray) -> DataFrame:
+def _item_words(benchmark: DataFrame, id_col: str, text_col: str, separators: np.ndarray, window: int, piece: int) -> DataFrame:
+    """(id, piece, words): a row for each item, or for each run of `piece` windows of a longer one."""
+
     def run(batches):
         for block, data, offsets in textkit.row_blocks(batches):
             hashes, first = textkit.words(data, offsets, separators)
+            windows = np.maximum(np.diff(first) - window + 1, np.minimum(np.diff(first), 1))
+            many = -(-windows // piece)
+            some = np.flatnonzero(many == 1)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("id"), lists], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([block.column("id").take(pa.array(some)), pa.array(np.zeros(len(some), np.int64)), lists.take(pa.array(some))], names=["id", "piece", "words"])
+            for i in np.flatnonzero(many > 1).tolist():
+                for number in range(many[i]):  # a batch for each, so that a long item's pieces are not held together
+                    own = hashes[first[i] + number * piece : first[i + 1]][: piece + window - 1]
+                    yield pa.RecordBatch.from_arrays([block.column("id").slice(i, 1), pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own.view(np.int64)))], names=["id", "piece", "words"])
 
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return items.mapInArrow(run, "id string, words array<long>").where("size(words) > 0")
+    return items.mapInArrow(run, "id string, piece long, words array<long>")
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -79,7 +90,7 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, np.n
     total = items.agg(F.sum(F.size("words")).alias("n")).first().n or 0
     count = -(-total // block_words)
     for number in range(count):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == number).collect()
+        rows = items.where(F.pmod(F.xxhash64("id", "piece"), F.lit(count)) == number).collect()
         if rows:
             yield sorted(((r.id, np.array(r.words, dtype=np.int64).view(np.uint64)) for r in rows), key=lambda x: (x[0], x[1].tolist()))
 
@@ -89,8 +100,8 @@ def _windows(block: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarr
     vocabulary = np.unique(np.concatenate([w for _, w in block]))
     rows, sizes, owner = [], [], []
     for i, (_, words) in enumerate(block):
-        at, n = np.searchsorted(vocabulary, words).astype(np.int64), min(window, len(words))
-        grid = np.full((len(words) - n + 1, window), -1, dtype=np.int64)
+        at, n = np.searchsorted(vocabulary, words).astype(np.int32), min(window, len(words))
+        grid = np.full((len(words) - n + 1, window), -1, dtype=np.int32)
         grid[:, :n] = np.lib.stride_tricks.sliding_window_view(at, n)
         rows.append(grid)
         sizes.append(np.full(len(grid), n))
@@ -151,7 +162,7 @@ def search_shard(terms, ends, positions, doc_start, doc_end, vocabulary, grid, p
     return who, start
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0, separators: np.ndarray = textkit.PLAIN, block_words: int = 2_000_000, index: DataFrame | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0, separators: np.ndarray = textkit.PLAIN, block_words: int = 500_000, index: DataFrame | None = None) -> DataFrame:
     """A row for each document: id_col, n_words, hits (hit word numbers from 0, sorted), items (ids with an exact window), near_items.
 
     near_items holds the items with a window matched within slop (the exact ones among them); it is
@@ -162,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     built = index is None
     if built:
         index = scratch.save(build_index(docs, id_col, text_col, separators), "index")
-    items = scratch.save(_item_words(benchmark, item_col, item_text_col, separators), "items")
+    items = scratch.save(_item_words(benchmark, item_col, item_text_col, separators, window, max(window, block_words // 8)), "items")
     if not built and (items.agg(F.sum(F.size("words")).alias("n")).first().n or 0) > block_words:
         index = scratch.save(index, "kept-index")  # hits of several blocks are joined by shard: each must read the same shards
     schema = f"shard string, ord int, {id_col} long, n_words long, hits array<int>, items array<string>, near_items array<string>"
@@ -195,7 +206,7 @@ def _search(index: DataFrame, block: list[tuple[str, np.ndarray]], window: int,
         order = np.argsort(rarity[grid], axis=1, kind="stable")
         grid = np.take_along_axis(grid, order, axis=1)
         alive = rarity[grid[:, 0]] > 0
-        sent = (names, vocabulary, grid[alive], order[alive], sizes[alive], owner[alive])
+        sent = (names, vocabulary, grid[alive], order[alive].astype(np.int32), sizes[alive], owner[alive])
     else:
         none = np.zeros(0, np.int64)
         sent = (names, none.astype(np.uint64), np.zeros((0, window), np.int64), np.zeros((0, window), np.int64), none, none)

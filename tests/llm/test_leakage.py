@@ -85,3 +85,15 @@ def test_drop(spark):
     docs = clashing(spark.createDataFrame([(1, "a b c"), (2, "x a b c y"), (None, "a b c"), (4, "b c a")], DOCS))
     got = leakage.drop_contaminated(docs, spark.createDataFrame([(1, "A, b c!")], ITEMS))
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {None, 4}
+
+
+def test_a_long_item_goes_in_pieces(spark):
+    rng = random.Random(11)
+    long = prose(rng, 700, 300)
+    words = long.split()
+    docs = [(k, " ".join(["before", *words[a : a + n], "after"])) for k, (a, n) in enumerate([(0, 10), (1, 9), (3, 25), (690, 10), (695, 5), (0, 700), (111, 60)])] + [(90, prose(rng, 50)), (91, None)]
+    items = [(1, long), (2, " ".join(words[100:130])), (3, "short one"), (4, ""), (5, " ".join(words[:10]))]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    assert result(leakage.decontaminate(d, i, block_words=200)) == expected(docs, items)
+    pieces = leakage._item_words(i, "item_id", "text", leakage.textkit.PLAIN, 10, 25).collect()
+    assert max(len(r.words) for r in pieces) == 34 and sum(r.id == "1" for r in pieces) == 28 and {r.id for r in pieces} == {"1", "2", "3", "5"}
