@@ -232,11 +232,11 @@ def _moved(rows: DataFrame, reach: float) -> DataFrame:
                     continue
                 x = _unit(_vectors(batch.column("vec").take(pa.array(at))))
                 mid = np.frombuffer(mids[places[0]].as_buffer(), np.float64).reshape(-1, x.shape[1])
-                far = ((x[:, None, :] - mid[None, :, :]) ** 2).sum(axis=2)
+                # squared distances but for the vector's own length, which is the same for all centroids
+                far = (mid * mid).sum(axis=1) - 2 * (x @ mid.T)
                 own = far.argmin(axis=1)
-                gap = np.sqrt(((mid[own][:, None, :] - mid[None, :, :]) ** 2).sum(axis=2))
-                beyond = (far - far[np.arange(len(at)), own][:, None]) / np.maximum(2 * gap, 1e-12)
-                inside = beyond <= reach
+                gap = np.sqrt(((mid[:, None, :] - mid[None, :, :]) ** 2).sum(axis=2))[own]
+                inside = far - far[np.arange(len(at)), own][:, None] <= 2 * gap * reach + 1e-12  # rounding may only add
                 inside[np.arange(len(at)), own] = True
                 r, c = np.nonzero(inside)
                 take += at[r].tolist()
