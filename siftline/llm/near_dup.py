@@ -10,7 +10,9 @@ Candidates. Texts of equal shingle sets first become one class, whose smallest i
 In each bucket two members are centres (the first and last in one of a few fixed random orders, so
 that bands of the same order agree on centres and others add new ones), and only edges from a
 centre to a member are candidates: at most two per member and bucket, never all pairs. Edges are
-confirmed on full sets and joined to components.
+confirmed on full sets and joined to components. Buckets are counted with partial aggregates and
+written before they are joined to their members again, so that adaptive execution splits the rows of
+a bucket that very many share, and neither side of a join is an aggregate that must stay whole.
 
 The rest. A bucket whose members are then in one component is done. In the few others, pairs of
 different components have not all met. Their members are compared in blocks of about `block` shingles
@@ -184,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spread = reps.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "key", "band", "n_shingles", F.xxhash64("node", F.col("band") % orders).alias("rank"))
     buckets = spread.groupBy("key").agg(F.min_by("node", "rank").alias("lo"), F.max_by("node", "rank").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("lo <> hi")
+    buckets = scratch.save(buckets, "buckets")  # adaptive execution splits a bucket's members only where both sides are plain scans
     members = scratch.save(spread.select("node", "key", "band").join(buckets, "key"), "members")
     stars = members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(members.where("node <> hi and node <> lo and n > 2").select(F.col("hi").alias("a"), F.col("node").alias("b")))
     pairs = scratch.save(stars.distinct(), "pairs")
@@ -198,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn, closest in ((1, True), (2, False)):
         labels = components(links, scratch, f"turn-{turn}")
         named = crowded.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        mixed = scratch.save(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), f"mixed-{turn}")
         apart = scratch.save(named.join(mixed, "key", "left_semi"), f"apart-{turn}")
         marks = reps.select("node", "bands", "small").join(apart.select("node").distinct(), "node", "left_semi")
         side = F.ceil(F.col("size") / F.lit(block)).cast("long")
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links, scratch, "last").withColumnRenamed("id", "node")
     roots = labels.join(classes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("root"))
     by_node = scratch.save(labels.join(roots, "label").select("node", "root"), "roots")
-    scratch.drop("members", "pairs", "needed", "texts", "texts-once", *(f"{n}-{t}" for n in ("apart", "more", "links", "confirmed") for t in (0, 1, 2)))
+    scratch.drop("buckets", "members", "pairs", "needed", "texts", "texts-once", *(f"{n}-{t}" for n in ("mixed", "apart", "more", "links", "confirmed") for t in (0, 1, 2)))
 
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "least", "id"))
     return rows_of.join(by_node, "node", "left").select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
